@@ -123,7 +123,7 @@ TEXTS = (
 #: One of these is in every text that a rule or a base phrase can match.
 ANCHORS = (b"licen", b"spdx", b"cc by", b" under ", b"public domain", b"all rights reserved", b"permission ", b"redistribution ", b"free software")
 #: Names that speak for themselves without a form around them.
-ALONE = re.compile(r"cc |\(\?:creative|creative|\(\?:gnu \)|agpl|lgpl|gpl|mozilla|eclipse|apache")
+ALONE = re.compile(r"cc |\(\?:creative|creative|\(\?:gnu \)|agpl|lgpl|gpl|apache|0bsd|wtfpl")
 
 
 @dataclass(frozen=True)
@@ -143,7 +143,7 @@ def rules() -> list[Rule]:
         for label, keyword, name in NAMES:
             out.append((label, keyword, anchor, form.replace("{}", f"(?:{name})"), score))
     out += [(label, keyword, keyword, text, score) for label, keyword, text, score in TEXTS]
-    out += [(label, keyword, keyword, name, 0.5) for label, keyword, name in NAMES if ALONE.match(name)]
+    out += [(label, keyword, keyword, name, 0.5) for label, keyword, name in NAMES if "licen" in name or ALONE.match(name)]
     return [Rule(k, label, keyword.encode(), anchor.encode(), re.compile(f"(?<= )(?:{text})(?= )".encode()), score) for k, (label, keyword, anchor, text, score) in enumerate(out)]
 
 
