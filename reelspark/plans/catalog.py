@@ -6,16 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from reelspark.plans import catalogs, identity, scores, texts, timeline, tracks
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _modules() -> list:
-    return []
+MODULES = (timeline, identity, tracks, scores, catalogs, texts)
 
 
 def queries() -> dict[str, Query]:
-    return {k: v for m in _modules() for k, v in m.QUERIES.items()}
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for m in _modules() for k, v in m.ORACLES.items()}
+    return {k: v for m in MODULES for k, v in m.ORACLES.items()}
