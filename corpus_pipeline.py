@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 from reelspark.llm import jaccard, lines, mixing, packing, quality
 from reelspark.llm.queries import tokenizer_path
+from reelspark.llm.shared import small_side
 from reelspark.session import ready, table
 
+#: Ids of removed documents that may be broadcast: 8 bytes each.
+BROADCAST_IDS = 500_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -34,7 +37,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """The smallest document of each group of near-duplicates: five words, similarity of 0.8 or more."""
     groups = jaccard.jaccard_groups(docs, width=5, percent=80)
     others = groups.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(others.hint("shuffle_hash"), "doc_id", "left_anti").select(*COLUMNS)
+    return docs.select(*COLUMNS).join(small_side(others, BROADCAST_IDS), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,9 +54,10 @@ def _fill(batch: pa.RecordBatch, table: np.ndarray) -> None:
     for _, _, b, row in _tokens(batch.column(0)):
         for step in range(1, WINDOW + 1):
             same = row[step:] == row[:-step]
-            for word, near in ((b[:-step][same], b[step:][same]), (b[step:][same], b[:-step][same])):
-                for k in range(ONES):
-                    table += np.bincount(word * DIMENSIONS + place[near, k], sign[near, k], len(table)).astype(np.int64)
+            left, right = b[:-step][same], b[step:][same]
+            word, near = np.concatenate([left, right]), np.concatenate([right, left])
+            at = (word * DIMENSIONS)[:, None] + place[near]
+            table += np.bincount(at.ravel(), sign[near].ravel(), len(table)).astype(np.int64)
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:

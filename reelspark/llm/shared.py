@@ -125,6 +125,12 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.select(F.col("u").alias("node"), "component").unionAll(edges.select(v.alias("node"), v.alias("component")).distinct())
 
 
+def small_side(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, written, with a broadcast hint if it has at most ``rows`` rows, else a hint to hash it in a shuffled join."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= rows else df.hint("shuffle_hash")
+
+
 def crc32_of(column: str) -> Column:
     """crc32 of an id written as text."""
     return F.crc32(F.col(column).cast("string").cast("binary"))
