@@ -13,6 +13,8 @@ from reelspark.session import cut
 
 #: Slices of a summed table; each is one small binary row.
 SLICES = 64
+#: Edges whose components one task finds: 16 bytes each.
+ONE_TASK = 500_000
 
 
 def summed(df: DataFrame, fill: Callable[[pa.RecordBatch, np.ndarray], None], length: int, reduce: np.ufunc = np.add) -> np.ndarray:
@@ -100,15 +102,26 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The components of all edges seen."""
+    edges = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
+    if edges:
+        node, component = forest(*map(np.concatenate, zip(*edges, strict=True)))
+        roots = np.unique(component)
+        yield pa.RecordBatch.from_pydict({"node": np.concatenate([node, roots]), "component": np.concatenate([component, roots])})
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): connected components of the edges (u, v), both long; component is the smallest node.
 
     Large-star and small-star rounds, each a few joins on the nodes, until the edges stay the same.
-    Nodes without an edge are not listed.
+    Edges that are few enough for one task, by count, need no rounds. Nodes without an edge are not listed.
     """
     u, v = F.col("u"), F.col("v")
     edges = edges.select("u", "v").where(u != v).mapInArrow(_local, "u long, v long")
     edges = cut(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct())
+    if edges.count() <= ONE_TASK:
+        return edges.repartition(1).mapInArrow(_whole, "node long, component long")
     before = None
     while True:
         sizes = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

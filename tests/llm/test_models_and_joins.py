@@ -41,7 +41,9 @@ def test_summed_tables(spark):
     assert not shared.summed(spark.range(0), fill, 1000).any()
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize("one_task", [0, 500_000])
+def test_components_of_paths_and_stars(spark, monkeypatch, one_task):
+    monkeypatch.setattr(shared, "ONE_TASK", one_task)
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, x) for x in range(101, 160)] + [(500, 501), (501, 500), (7, 7)]
     got = {r.node: r.component for r in shared.components(spark.createDataFrame(edges, "u long, v long").repartition(4)).collect()}
     assert got == {**{k: 0 for k in range(41)}, **{k: 100 for k in range(100, 160)}, 500: 500, 501: 500}
