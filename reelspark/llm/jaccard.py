@@ -1,10 +1,11 @@
 """N-gram Jaccard join by prefix filters under several global token orders.
 
 A document is the set of its distinct word shingles. Two sets link when their Jaccard similarity
-reaches the threshold. For a set of n tokens in any fixed global order, a partner must share one of
-the first ``n - ceil(t n) + 1`` tokens. The orders used here put rare tokens first (by a table of
+reaches the threshold. For a set of n tokens in any fixed global order, a partner must share at
+least ``l`` of the first ``n - ceil(t n) + l`` tokens, for any l up to ``LEAST``. The orders used here put rare tokens first (by a table of
 counts over all documents) and break ties by different hashes, so a pair has to pass a filter per
-order before its sets are compared.
+order before its sets are compared. Of most pairs only the low bits of the tokens travel: they bound
+the overlap from above, and the whole tokens are fetched for the pairs that this leaves.
 
 Work is kept near-linear in a group's size although the links themselves may be quadratic:
 
@@ -36,6 +37,10 @@ from reelspark.session import cut, ready
 #: Places of the table of token counts (a task sends it once: 4 MB), and bits of the candidate filter.
 COUNTS = 1 << 20
 BITS = 1 << 24
+#: Tokens that two prefixes must share; smaller sets need fewer.
+LEAST = 8
+#: Pairs whose names may be broadcast: 16 bytes each.
+BROADCAST_PAIRS = 100_000
 #: Orders after the one that is indexed; each is a filter on candidate pairs.
 MORE_ORDERS = (2, 3)
 
@@ -62,12 +67,17 @@ def levels(counts: np.ndarray) -> np.ndarray:
     return np.log2(np.maximum(counts, 1)).astype(np.uint8)
 
 
+def shared_tokens(n: int, percent: int) -> int:
+    """How many tokens a set of n must share with a partner in their prefixes."""
+    return min(LEAST, -(-percent * n // 100))
+
+
 def prefix(tokens: np.ndarray, level: np.ndarray, order: int, percent: int) -> np.ndarray:
     """The set's first tokens in one global order: by level, then by that order's hash."""
     n = len(tokens)
     if not n:
         return tokens
-    keep = n - -(-percent * n // 100) + 1
+    keep = n - -(-percent * n // 100) + shared_tokens(n, percent)
     key = (level[(tokens % np.uint64(COUNTS)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (kernels.mix(tokens, 16 + order) >> np.uint64(6))
     return tokens[np.argpartition(key, keep - 1)[:keep]] if keep < n else tokens
 
@@ -80,9 +90,7 @@ def _described(width: int, percent: int, level: np.ndarray):
         for batch in batches:
             n, a, b, first = [], [], [], []
             for _, tokens in kernels.sets_of_shingles(batch.column(1), width):
-                with np.errstate(over="ignore"):
-                    x = int(kernels.mix(np.sum(kernels.mix(tokens, 5), keepdims=True))[0])
-                    y = int(kernels.mix(np.sum(kernels.mix(tokens, 6), keepdims=True))[0])
+                x, y = _digest(tokens)
                 n.append(len(tokens))
                 a.append(x)
                 b.append(y)
@@ -99,26 +107,41 @@ def _described(width: int, percent: int, level: np.ndarray):
     return run
 
 
-def _ids(batch: pa.RecordBatch, table: np.ndarray) -> None:
-    at = _places(batch.column(0))
-    np.bitwise_or.at(table, at >> 6, np.left_shift(np.int64(1), at & 63))
+def _digest(tokens: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit hashes of a set."""
+    with np.errstate(over="ignore"):
+        return tuple(int(kernels.mix(np.sum(kernels.mix(tokens, k), keepdims=True))[0]) for k in (5, 6))
 
 
 def _places(ids: pa.Array) -> np.ndarray:
     return (kernels.mix(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), 9) % np.uint64(BITS)).astype(np.int64)
 
 
+def _mark(batch: pa.RecordBatch, table: np.ndarray) -> None:
+    at = _places(batch.column(0))
+    np.bitwise_or.at(table, at >> 6, np.left_shift(np.int64(1), at & 63))
+
+
 def _sets_of(width: int, bits: np.ndarray):
-    """The sets of the documents whose id may be wanted."""
+    """The sets, by digest, of the documents that may be wanted; a set of a task once, or again after very many others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             at = _places(batch.column(0))
             batch = batch.filter(pa.array((bits[at >> 6] >> (at & 63)) & 1 == 1))
             for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                sets = [tokens.tobytes() for _, tokens in kernels.sets_of_shingles(part.column(1), width)]
-                yield pa.RecordBatch.from_pydict({"id": part.column(0), "tokens": pa.array(sets, pa.binary())})
+                names, sets, prints = [], [], []
+                for _, tokens in kernels.sets_of_shingles(batch.column(1).slice(k, 256), width):
+                    a = _digest(tokens)[0]
+                    if a not in seen:
+                        if len(seen) > 1_000_000:
+                            seen.clear()
+                        seen.add(a)
+                        names.append(a)
+                        sets.append(tokens.tobytes())
+                        prints.append(_printed(tokens))
+                yield pa.RecordBatch.from_pydict({"a": pa.array(kernels.as_long(np.array(names, np.uint64)), pa.int64()), "tokens": pa.array(sets, pa.binary()), "prints": pa.array(prints, pa.binary())})
 
     return run
 
@@ -129,6 +152,39 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+def _printed(tokens: np.ndarray) -> bytes:
+    """The low three bytes of each token, in order of their values."""
+    low = np.sort((tokens & np.uint64(0xFFFFFF)).astype("<u4"))
+    return low.view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+
+def _prints(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 3, 4), np.uint8)
+    out[:, :3] = np.frombuffer(data, np.uint8).reshape(-1, 3)
+    return out.view("<u4").ravel()
+
+
+def _within(x: np.ndarray, y: np.ndarray) -> int:
+    """How many of x are in y, both sorted."""
+    at = np.searchsorted(y, x)
+    return int((y[np.minimum(at, len(y) - 1)] == x).sum())
+
+
+def _screen(percent: int):
+    """Pairs whose low bits allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for s, t in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = _prints(s.as_buffer()), _prints(t.as_buffer())
+                most = min(_within(x, y), _within(y, x))
+                keep.append(100 * most >= percent * (len(x) + len(y) - most))
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _verify(percent: int, level: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, own = None, {}
@@ -138,7 +194,8 @@ def _verify(percent: int, level: np.ndarray):
                 x, y = np.frombuffer(s.as_py(), np.uint64), np.frombuffer(t.as_py(), np.uint64)
                 if b.as_py() != hub:
                     hub, own = b.as_py(), {k: np.sort(prefix(y, level, k, percent)) for k in MORE_ORDERS}
-                if all(np.isin(prefix(x, level, k, percent), own[k], assume_unique=True).any() for k in MORE_ORDERS) and linked(x, y, percent):
+                least = min(shared_tokens(len(x), percent), shared_tokens(len(y), percent))
+                if all(np.isin(prefix(x, level, k, percent), own[k], assume_unique=True).sum() >= least for k in MORE_ORDERS) and linked(x, y, percent):
                     u.append(a.as_py())
                     v.append(b.as_py())
             yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
@@ -160,19 +217,30 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
 
     # One class for each set: its digest's first half names it, its smallest document stands for it.
     classes = cut(told.where("n > 0 and doc_id is not null").groupBy("a").agg(F.min_by(F.struct("doc_id", "n", "b"), "doc_id").alias("x")).select("a", "x.doc_id", "x.n", "x.b"))
+    need = F.least(F.lit(LEAST), F.ceil(percent * F.col("n") / 100))
     tokens = told.where("first is not null").select("a", "n", F.explode("first").alias("token")).repartition("token")
     shared = tokens.groupBy("token").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low < high").drop("high")
     tokens = cut(tokens.join(shared, "token").distinct())
+    able = lambda rows: rows.join(rows.groupBy("a", "n").count().where(F.col("count") >= need).select("a"), "a")
+    tokens = cut(able(tokens).drop("low"))
+    tokens = cut(able(tokens.join(tokens.groupBy("token").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low < high").drop("high"), "token")))
 
     wanted = tokens.select("a").distinct().join(classes, "a").select("doc_id")
-    bits = summed(wanted, _ids, BITS // 64, np.bitwise_or)
-    sets = docs.where("doc_id is not null").mapInArrow(_sets_of(width, bits), "id long, tokens binary")
-    sets = cut(classes.select("a", F.col("doc_id").alias("id")).join(sets.dropDuplicates(["id"]), "id").select("a", "tokens"))
+    bits = summed(wanted, _mark, BITS // 64, np.bitwise_or)
+    sets = cut(docs.where("doc_id is not null").mapInArrow(_sets_of(width, bits), "a long, tokens binary, prints binary"))
+
+    def both(pairs: DataFrame, column: str) -> DataFrame:
+        left = pairs.join(sets.select(F.col("a").alias("u"), F.col(column).alias("s")), "u")
+        return left.join(sets.select(F.col("a").alias("v"), F.col(column).alias("t")), "v").select("u", "v", "s", "t")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(sets.select(F.col("a").alias("u"), F.col("tokens").alias("s")), "u")
-        both = left.join(sets.select(F.col("a").alias("v"), F.col("tokens").alias("t")), "v")
-        return both.select("u", "v", "s", "t").mapInArrow(_verify(percent, level), "u long, v long")
+        left = cut(both(pairs, "prints").mapInArrow(_screen(percent), "u long, v long"))
+        # Few pairs as a rule: their names are broadcast if they are, so that only their sets are shuffled.
+        ends = left.select(F.col("u").alias("a")).unionAll(left.select(F.col("v").alias("a"))).distinct()
+        ends = F.broadcast(ends) if left.count() <= BROADCAST_PAIRS else ends
+        needed = sets.join(ends, "a", "left_semi").select("a", "tokens")
+        got = left.join(needed.select(F.col("a").alias("u"), F.col("tokens").alias("s")), "u").join(needed.select(F.col("a").alias("v"), F.col("tokens").alias("t")), "v")
+        return got.select("u", "v", "s", "t").mapInArrow(_verify(percent, level), "u long, v long")
 
     # Each class against its commonest hub.
     hubs = tokens.where("a != low").groupBy("a", "n", F.col("low")).count()
@@ -182,14 +250,15 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     found = components(first)
 
     # All pairs with a common prefix token that the hubs have not joined.
-    rest = tokens.drop("low").join(found.withColumnRenamed("node", "a"), "a", "left").withColumn("c", F.coalesce("component", "a")).drop("component").repartition("token")
+    rest = tokens.drop("low").join(found.withColumnRenamed("node", "a"), "a", "left").withColumn("c", F.coalesce("component", "a")).drop("component")
     mixed = rest.groupBy("token").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("token")
-    rest = cut(rest.join(mixed, "token"))
+    rest = cut(able(rest.join(mixed, "token")))
     ends = rest.select("token", "c").distinct()
     pairs = ends.withColumnRenamed("c", "c1").join(ends.withColumnRenamed("c", "c2"), "token").where("c1 < c2")
     pairs = pairs.join(rest.select("token", F.col("c").alias("c1"), F.col("a").alias("u"), "n"), ["token", "c1"])
     pairs = pairs.join(rest.select("token", F.col("c").alias("c2"), F.col("a").alias("v"), F.col("n").alias("m")), ["token", "c2"]).where(_near(F.col("n"), F.col("m"), percent))
-    pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    least = F.ceil(percent * F.least("n", "m") / 100)
+    pairs = pairs.groupBy("u", "v", "n", "m").count().where(F.col("count") >= F.least(F.lit(LEAST), least)).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     pairs = pairs.join(hubs.select(F.greatest("a", "v").alias("u"), F.least("a", "v").alias("v")), ["u", "v"], "left_anti")
     found = components(first.unionAll(verified(pairs)))
 
