@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import zlib
 
@@ -288,6 +289,19 @@ def test_recurring_lines_go_but_one(spark):
         assert got[k].text == copies[0][1]
 
 
+def own_line(rng, n):
+    return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(9)) for _ in range(n))
+
+
+def test_a_passage_of_two_documents_goes_from_the_second(spark):
+    rng = random.Random(5)
+    passage = own_line(rng, 60)
+    docs = [(k, f"{own_line(rng, 35)}\n{passage}\n{own_line(rng, 35)}") for k in range(2)]
+    got = {r.doc_id: r for r in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[0].text == docs[0][1] and got[0].n_dropped == 0
+    assert got[1].text == "\n".join(docs[1][1].split("\n")[::2]) and got[1].n_dropped == 1
+
+
 def test_merged_lines_share_a_template():
     h = lambda s: np.array([zlib.crc32(w.encode()) % 65535 + 1 for w in s.split()], "<u2").tobytes()
     rows = ["user anna logged in from host a today", "user bert logged in from host a today", "user anna logged in from host b today", "the weather was fine on that day here"]
