@@ -302,6 +302,33 @@ def test_a_passage_of_two_documents_goes_from_the_second(spark):
     assert got[1].text == "\n".join(docs[1][1].split("\n")[::2]) and got[1].n_dropped == 1
 
 
+def test_short_pages_of_one_passage_are_no_copies(spark):
+    rng = random.Random(6)
+    passage = own_line(rng, 60)
+    docs = [(k, f"{own_line(rng, 15)}\n{passage}\n{own_line(rng, 15)}") for k in range(12)]
+    base = [own_line(rng, 12) for _ in range(30)]
+    near = [(50 + k, "\n".join([*base, own_line(rng, 4 + k)])) for k in range(3)]
+    got = {r.doc_id: r for r in lines.dedup_lines(spark.createDataFrame(docs + near, "doc_id long, text string")).collect()}
+    assert [got[k].n_dropped for k in range(12)] == [0] + [1] * 11
+    assert all(got[k].text == t for k, t in near)
+
+
+def test_lines_recur_as_a_plain_count_says(spark, documents):
+    """Lines of equal masked words that lie in two documents which are no near copies stay in one at most."""
+    key = lambda x: tuple("#" if re.search("[0-9]", w) else w for w in re.findall(r"[^\x20\x09-\x0D]+", x))
+    of = lambda text: {k for x in text.split("\n") if len(k := key(x)) >= 3}
+    rows = {r.doc_id: r.text for r in documents.collect() if r.text}
+    after = {r.doc_id: of(r.text) for r in lines.dedup_lines(documents).collect() if r.text}
+    where, grams = {}, {k: brute.shingles(t, 5) for k, t in rows.items()}
+    for k, t in rows.items():
+        for x in of(t):
+            where.setdefault(x, []).append(k)
+    alike = lambda i, j: len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j])
+    again = {x: ks for x, ks in where.items() if any(not alike(min(ks), k) for k in ks)}
+    assert len(again) > 10
+    assert {x: ks for x, ks in again.items() if sum(x in after.get(k, ()) for k in ks) > 1} == {}
+
+
 def test_merged_lines_share_a_template():
     h = lambda s: np.array([zlib.crc32(w.encode()) % 65535 + 1 for w in s.split()], "<u2").tobytes()
     rows = ["user anna logged in from host a today", "user bert logged in from host a today", "user anna logged in from host b today", "the weather was fine on that day here"]
