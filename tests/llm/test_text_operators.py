@@ -329,6 +329,22 @@ def test_lines_recur_as_a_plain_count_says(spark, documents):
     assert {x: ks for x, ks in again.items() if sum(x in after.get(k, ()) for k in ks) > 1} == {}
 
 
+@pytest.mark.parametrize("leaf", [7, 2000])
+def test_large_leaves_are_generalised(spark, monkeypatch, leaf):
+    monkeypatch.setattr(lines, "LEAF", leaf)
+    rng = random.Random(7)
+    name = lambda: own_line(rng, 1)
+    # One hot template in one leaf; in another, pairs among lines that have nothing but the leading words in common.
+    pairs = [f"these four words lead {own_line(rng, 6)}" for _ in range(40)]
+    docs = [(k, f"please contact our office {name()} for any more details\n{pairs[k % 40]} {name()}\n{own_line(rng, 20)}") for k in range(80)]
+    if leaf == 2000:
+        docs += [(100 + k, f"please contact our office {name()} for any more details") for k in range(4200)]
+    got = {r.doc_id: r for r in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    assert got[0].n_dropped == 0
+    assert all(got[k].n_dropped == 1 for k in range(1, 40))
+    assert all(got[k].text == docs[k][1].split("\n")[2] for k in range(40, 80))
+
+
 def test_merged_lines_share_a_template():
     h = lambda s: np.array([zlib.crc32(w.encode()) % 65535 + 1 for w in s.split()], "<u2").tobytes()
     rows = ["user anna logged in from host a today", "user bert logged in from host a today", "user anna logged in from host b today", "the weather was fine on that day here"]
