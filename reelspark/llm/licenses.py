@@ -106,8 +106,8 @@ NAMES = (
 # Forms in order of priority: a regex around a name, the confidence of a match, and a word that all its matches hold.
 FORMS = (
     (r"spdx license identifier {}", 1.0, "spdx"),
-    (r"(?:licen[cs]ed|released|distributed|published|available|provided|covered|redistribute it)(?: [^ ]+)? under (?:the |a |an )?(?:terms of (?:the |version \d of the )?)?{}(?: licen[cs]e)?", 0.95, "under"),
-    (r"under (?:the |a |an )?(?:terms (?:and conditions )?of (?:the )?)?{} licen[cs]e", 0.9, "under"),
+    (r"(?:licen[cs]ed|released|distributed|published|available|provided|covered|redistribute it)(?: [^ ]+)? under (?:the |a |an )?(?:terms of (?:the |version \d of the )?)?{}(?: licen[cs]e)?", 0.95, " under "),
+    (r"under (?:the |a |an )?(?:terms (?:and conditions )?of (?:the )?)?{} licen[cs]e", 0.9, " under "),
     (r"(?:the )?{} licen[cs]e", 0.7, "licen"),
     (r"licen[cs]es? (?:is |type )?{}", 0.6, "licen"),
 )
@@ -120,8 +120,6 @@ TEXTS = (
     ("public-domain", "public domain", r"(?:dedicated to|released into|placed in|in) the public domain", 0.6),
     ("all-rights-reserved", "all rights reserved", r"all rights reserved", 0.4),
 )
-#: One of these is in every text that a rule or a base phrase can match.
-ANCHORS = (b"licen", b"spdx", b"cc by", b" under ", b"public domain", b"all rights reserved", b"permission ", b"redistribution ", b"free software")
 #: Names that speak for themselves without a form around them.
 ALONE = re.compile(r"cc |\(\?:creative|creative|\(\?:gnu \)|agpl|lgpl|gpl|apache|0bsd|wtfpl")
 
@@ -143,7 +141,10 @@ def rules() -> list[Rule]:
         for label, keyword, name in NAMES:
             out.append((label, keyword, anchor, form.replace("{}", f"(?:{name})"), score))
     out += [(label, keyword, keyword, text, score) for label, keyword, text, score in TEXTS]
-    out += [(label, keyword, keyword, name, 0.5) for label, keyword, name in NAMES if "licen" in name or ALONE.match(name)]
+    for label, keyword, name in NAMES:
+        if "licen" in name or ALONE.match(name):
+            anchor = "cc by" if name.startswith("cc by") else keyword if ALONE.match(name) else "licen"
+            out.append((label, keyword, anchor, name, 0.5))
     return [Rule(k, label, keyword.encode(), anchor.encode(), re.compile(f"(?<= )(?:{text})(?= )".encode()), score) for k, (label, keyword, anchor, text, score) in enumerate(out)]
 
 
@@ -151,16 +152,25 @@ _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122
 _RULES: list[Rule] = []
 
 
+def anchors(found: list[Rule]) -> list[bytes]:
+    """Strings of which one is in every text that a rule or a base phrase can match."""
+    wanted = {rule.anchor for rule in found} | {phrase.encode() for phrase, _ in BASE}
+    return sorted(x for x in wanted if not any(y in x for y in wanted - {x}))
+
+
+_ANCHORS: list[bytes] = []
+
+
 def scan(text: bytes) -> dict:
     """Words, base places and surviving detections (first word, end word, label, score) of one text."""
     if not _RULES:
         _RULES.extend(rules())
+        _ANCHORS.extend(anchors(_RULES))
     words = text.translate(_WORDS).split()
     out = {"n_words": len(words), "base": [], "detections": []}
     # The anchors are looked for in the words, however the text parts them.
     joined = b" " + b" ".join(words) + b" "
-    anchors = [x for x in ANCHORS if x in joined]
-    if not anchors:
+    if not any(x in joined for x in _ANCHORS):
         return out
     at = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
     word = lambda k: int(np.searchsorted(at, k))

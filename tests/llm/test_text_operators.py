@@ -269,6 +269,50 @@ def test_rules_and_suppression():
     assert labels("he studied at mit under a professor") == set()
 
 
+def examples(pattern):
+    """Texts that a pattern matches, with every alternative and every optional part at least once."""
+    from re import _parser
+
+    def of(items):
+        out = [""]
+        for kind, x in items:
+            name = str(kind)
+            if name == "LITERAL":
+                some = [chr(x)]
+            elif name == "NOT_LITERAL":
+                some = ["w"]
+            elif name == "IN":
+                some = [chr(v) if str(k) == "LITERAL" else chr(v[0]) if str(k) == "RANGE" else "2" for k, v in x if str(k) != "NEGATE"]
+            elif name == "BRANCH":
+                some = [t for b in x[1] for t in of(b)]
+            elif name == "SUBPATTERN":
+                some = of(x[3])
+            elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+                some = [*([""] if x[0] == 0 else []), *of(x[2])]
+            else:
+                assert name in ("ASSERT", "ASSERT_NOT"), name
+                continue
+            # Each part's variants beside the first of all others.
+            out = list(dict.fromkeys([a + some[0] for a in out] + [out[0] + b for b in some[1:]] + [out[-1] + b for b in some[1:]]))
+        return out
+
+    return of(_parser.parse(pattern))
+
+
+def test_every_rule_passes_the_anchors():
+    found = licenses.rules()
+    gate = licenses.anchors(found)
+    for rule in found:
+        for text in examples(rule.pattern.pattern):
+            assert rule.pattern.search(f" {text} ".encode()), text
+            if rule.keyword in text.encode():
+                assert any(x in f" {text} ".encode() for x in gate), (rule.label, text)
+                assert licenses.scan(text.encode())["detections"], (rule.label, text)
+    labels = lambda t: {d[2] for d in licenses.scan(t.encode())["detections"]}
+    for text, label in [("Released as GPLv3", "gpl-3"), ("AGPL-3.0", "agpl-3"), ("WTFPL", "wtfpl"), ("Apache 2.0", "apache-2"), ("Creative Commons Attribution 4.0", "cc-by"), ("0BSD", "bsd-0")]:
+        assert labels(text) == {label}, text
+
+
 def test_licenses_of_odd_rows(odd_docs, no_docs):
     assert licenses.license_scan(odd_docs).count() == odd_docs.count()
     assert licenses.license_scan(no_docs).count() == 0
