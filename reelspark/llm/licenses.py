@@ -27,16 +27,16 @@ from reelspark.session import ready
 # The base phrases and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-# label, keyword, names as regexes over words (SPDX-like short names first), longest names first.
+# label, keyword that every match of the name holds, names as regexes over words (SPDX-like short names first), longest names first.
 NAMES = (
     ("agpl-3", "agpl", r"agpl(?: ?v?3)?(?: 0)?(?: only| or later)?"),
     ("agpl-3", "affero", r"(?:gnu )?affero general public license(?: (?:version|v) ?3)?"),
     ("lgpl-3", "lgpl", r"lgpl ?v?3(?: 0)?(?: only| or later)?"),
     ("lgpl-2.1", "lgpl", r"lgpl ?v?2(?: 1)?(?: only| or later)?"),
     ("lgpl", "lgpl", r"lgpl"),
-    ("lgpl-3", "lesser", r"(?:gnu )?lesser general public license (?:version|v) ?3"),
-    ("lgpl-2.1", "lesser", r"(?:gnu )?(?:lesser|library) general public license (?:version|v) ?2(?: 1)?"),
-    ("lgpl", "lesser", r"(?:gnu )?(?:lesser|library) general public license"),
+    ("lgpl-3", "general public license", r"(?:gnu )?lesser general public license (?:version|v) ?3"),
+    ("lgpl-2.1", "general public license", r"(?:gnu )?(?:lesser|library) general public license (?:version|v) ?2(?: 1)?"),
+    ("lgpl", "general public license", r"(?:gnu )?(?:lesser|library) general public license"),
     ("gpl-3", "gpl", r"gpl ?v?3(?: 0)?(?: only| or later)?"),
     ("gpl-2", "gpl", r"gpl ?v?2(?: 0)?(?: only| or later)?"),
     ("gpl-3", "general public license", r"(?:gnu )?general public license (?:version |v)3"),
@@ -94,11 +94,11 @@ NAMES = (
     ("cc-by-sa", "sa", r"cc by sa(?: [1-4] [05])?"),
     ("cc-by", "cc by", r"cc by(?: [1-4] [05])?"),
     ("cc0", "cc0", r"cc0(?: 1 0)?"),
-    ("cc-by-nc-nd", "noderiv", r"(?:creative commons )?attribution noncommercial noderiv(?:ative|ativework)?s?"),
-    ("cc-by-nc-sa", "sharealike", r"(?:creative commons )?attribution noncommercial share ?alike"),
-    ("cc-by-nc", "noncommercial", r"(?:creative commons )?attribution non ?commercial"),
-    ("cc-by-nd", "noderiv", r"(?:creative commons )?attribution noderiv(?:ative|ativework)?s?"),
-    ("cc-by-sa", "sharealike", r"(?:creative commons )?attribution share ?alike"),
+    ("cc-by-nc-nd", "attribution", r"(?:creative commons )?attribution non ?commercial no ?deriv(?:ative ?work|ative)?s?"),
+    ("cc-by-nc-sa", "attribution", r"(?:creative commons )?attribution non ?commercial share ?alike"),
+    ("cc-by-nc", "attribution", r"(?:creative commons )?attribution non ?commercial"),
+    ("cc-by-nd", "attribution", r"(?:creative commons )?attribution no ?deriv(?:ative ?work|ative)?s?"),
+    ("cc-by-sa", "attribution", r"(?:creative commons )?attribution share ?alike"),
     ("cc-by", "creative commons", r"creative commons attribution"),
     ("cc", "creative commons", r"creative commons"),
 )

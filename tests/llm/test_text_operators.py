@@ -313,6 +313,21 @@ def test_every_rule_passes_the_anchors():
         assert labels(text) == {label}, text
 
 
+def test_every_alternative_of_a_rule_is_found():
+    for rule in licenses.rules():
+        for text in examples(rule.pattern.pattern):
+            assert rule.keyword in text.encode() and rule.anchor in f" {text} ".encode(), (rule.label, text)
+            got = licenses.scan(text.encode())
+            assert any(a == 0 and b == got["n_words"] for a, b, _, _ in got["detections"]), (rule.label, text)
+    labels = lambda t: {d[2] for d in licenses.scan(t.encode())["detections"]}
+    assert labels("GNU Library General Public License version 2") == {"lgpl-2.1"}
+    assert labels("Creative Commons Attribution-Share Alike") == {"cc-by-sa"}
+    assert labels("licensed under a Creative Commons Attribution-Non-Commercial 4.0 license") == {"cc-by-nc"}
+    assert labels("Creative Commons Attribution-Non-Commercial-Share Alike") == {"cc-by-nc-sa"}
+    assert labels("Creative Commons Attribution-Non-Commercial-No Derivatives") == {"cc-by-nc-nd"}
+    assert labels("Creative Commons Attribution-No Derivative Works") == {"cc-by-nd"}
+
+
 def test_licenses_of_odd_rows(odd_docs, no_docs):
     assert licenses.license_scan(odd_docs).count() == odd_docs.count()
     assert licenses.license_scan(no_docs).count() == 0
