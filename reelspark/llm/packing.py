@@ -16,6 +16,7 @@ occur; a null id is carried along; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -35,6 +36,9 @@ SMALL = 64
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: White space in one run that the ranks' pattern takes; it fails near a million.
+RUN = 100_000
+SPACES = re.compile(r"\s+")
 
 
 def _byte_of() -> dict[str, int]:
@@ -49,7 +53,7 @@ class Encoder:
 
     The file's vocabulary is a byte-level one whose ids are the order of its merges, so its merges
     can be applied by ranks, which is several times faster. The file's own tokenizer takes the texts
-    that hold one of its special tokens.
+    that hold one of its special tokens or a run of white space of more than ``RUN`` characters.
     """
 
     def __init__(self, path: str):
@@ -64,7 +68,7 @@ class Encoder:
         self.encode = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def ids(self, text: str) -> bytes:
-        if any(x in text for x in self.special):
+        if any(x in text for x in self.special) or len(text) > RUN and any(m.end() - m.start() > RUN for m in SPACES.finditer(text)):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return array("I", self.encode(text)).tobytes()
 

@@ -126,6 +126,12 @@ def test_encoder_equals_the_tokenizer(tokenizer):
         assert encoder.ids(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
 
 
+def test_encoder_takes_long_runs(tokenizer):
+    encoder = packing.Encoder(queries.tokenizer_path())
+    for text in [" " * 1_200_000, "a" + "\n" * 1_100_000 + "b", "x" + " " * packing.RUN + "y", "x" + "\u3000" * (packing.RUN + 1) + "y", "7" * 200_000, "-" * 200_000]:
+        assert encoder.ids(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), (text[:2], len(text))
+
+
 def test_cuts_waste_little():
     for n in range(1, 5000):
         pieces = packing.cuts(n)
