@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from reelspark.llm import jaccard, lines, mixing, packing, quality
 from reelspark.llm.queries import tokenizer_path
 from reelspark.llm.shared import small_side
-from reelspark.session import ready, table
+from reelspark.session import cut, ready, table
 
-#: Ids of removed documents that may be broadcast: 8 bytes each.
+#: Names of rows or groups that may be broadcast: 8 or 16 bytes each.
 BROADCAST_IDS = 500_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -34,10 +34,22 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each group of near-duplicates: five words, similarity of 0.8 or more."""
-    groups = jaccard.jaccard_groups(docs, width=5, percent=80)
-    others = groups.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(small_side(others, BROADCAST_IDS), "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of near-duplicates (five words, similarity of 0.8 or more): the smallest id's, a null id last.
+
+    A row is named by its id and text together, so rows that repeat an id are told apart and of equal
+    rows one stays. Texts without words are in no group and all stay.
+    """
+    rows = docs.select(F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text").alias("row"), *COLUMNS)
+    groups = jaccard.jaccard_groups(rows, width=5, percent=80, id_col="row").where("n_shingles > 0")
+    groups = cut(groups.groupBy(F.col("doc_id").alias("row"), "component_id").agg(F.count("*").alias("times")))
+    shared = small_side(groups.groupBy("component_id").count().where("count > 1").select("component_id"), BROADCAST_IDS)
+    grouped = cut(groups.join(shared, "component_id").join(rows.select("row", "doc_id").distinct(), "row"))
+    kept = grouped.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("kept")).select("component_id", F.col("kept.row").alias("kept"))
+    others = small_side(grouped.join(small_side(kept, BROADCAST_IDS), "component_id").where("row != kept").select("row"), BROADCAST_IDS)
+    again = small_side(groups.where("times > 1").select("row"), BROADCAST_IDS)
+    left = rows.join(others, "row", "left_anti")
+    once = left.join(again, "row", "left_semi").groupBy("row").agg(F.min(F.struct(*COLUMNS)).alias("x")).select("x.*")
+    return left.join(again, "row", "left_anti").select(*COLUMNS).unionAll(once)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

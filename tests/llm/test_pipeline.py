@@ -63,6 +63,15 @@ def test_jaccard_stage(stages):
     assert set(by_id(stages[3])) == set(brute.groups([k for k, _ in rows], linked))
 
 
+def test_jaccard_stage_of_repeated_and_null_ids(spark, sf):
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    rows = [(1, text(1)), (1, text(1)), (2, text(2)), (5, text(2)), (5, text(3)), (None, text(4)), (None, text(4)), (None, text(2) + " more"), (None, text(5)), (9, text(5)), (7, ""), (7, "")]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.one_of_each_group(spark, docs, sf).collect()]
+    want = [(1, text(1)), (2, text(2)), (5, text(3)), (None, text(4)), (9, text(5)), (7, ""), (7, "")]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_mixing_stage(stages):
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     before, after = {}, {}
