@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspark.session import cut
+from reelspark.session import cut, ready
 
 #: Slices of a summed table; each is one small binary row.
 SLICES = 64
@@ -138,6 +139,38 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.select(F.col("u").alias("node"), "component").unionAll(edges.select(v.alias("node"), v.alias("component")).distinct())
 
 
+class Shelf:
+    """Intermediate tables of one operator: Parquet in a folder of its own under the shared checkpoint folder.
+
+    Unlike checkpoints they are compressed, read column by column and can be dropped when they are done with.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = ready(spark), {}
+        self.folder = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4()}"
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Write ``df`` once and go on from the written copy."""
+        path = f"{self.folder}/{len(self.paths)}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[path] = out
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Remove tables that nothing will read again."""
+        path_of = self.spark._jvm.org.apache.hadoop.fs.Path
+        for path, table in self.paths.items():
+            if any(table is x for x in tables):
+                path_of(path).getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path_of(path), True)
+
+    def close(self, result: DataFrame) -> DataFrame:
+        """Write the result and remove everything else."""
+        result = self.keep(result)
+        self.drop(*(x for x in self.paths.values() if x is not result))
+        return result
+
+
 def small_side(df: DataFrame, rows: int) -> DataFrame:
     """``df``, written, with a broadcast hint if it has at most ``rows`` rows, else a hint to hash it in a shuffled join."""
     df = cut(df)
