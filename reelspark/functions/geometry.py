@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,38 +50,52 @@ def iou(a: list[Column], b: list[Column]) -> Column:
     return F.when(union > 0, w * h / union).otherwise(F.lit(0.0))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.pow(p["x"] - q["x"], F.lit(2.0)) + F.pow(p["y"] - q["y"], F.lit(2.0)))
 
 
 def eye_aspect_ratio(points: Column) -> Column:
     """Height over width of an eye of six points; 0 if there are fewer or it has no width."""
-    p = [F.get(points, F.lit(k)) for k in range(6)]
-    width = distance(p[0], p[3])
-    return F.when((F.size(points) >= 6) & (width >= 1e-6), (distance(p[1], p[5]) + distance(p[2], p[4])) / (2 * width)).otherwise(F.lit(0.0))
+    def ratio(points: Column) -> Column:
+        p = [F.get(points, F.lit(k)) for k in range(6)]
+        return bound(distance(p[0], p[3]), lambda width: F.when((F.size(points) >= 6) & (width >= 1e-6), (distance(p[1], p[5]) + distance(p[2], p[4])) / (2 * width)).otherwise(F.lit(0.0)))
+
+    return bound(points, ratio)
 
 
 def _middle(points: Column) -> Column:
     return F.get(points, (F.size(points) / 2).cast("int"))
 
 
-def _mean(points: Column, axis: str) -> Column:
-    return F.aggregate(F.transform(points, lambda p: p[axis].cast("double")), F.lit(0.0), lambda s, x: s + x) / F.size(points)
+def _centre(points: Column) -> Column:
+    zero = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    total = F.aggregate(points, zero, lambda s, p: F.struct((s["x"] + p["x"].cast("double")).alias("x"), (s["y"] + p["y"].cast("double")).alias("y")))
+    return bound(total, lambda s: F.struct((s["x"] / F.size(points)).alias("x"), (s["y"] / F.size(points)).alias("y")))
 
 
 def frontality(landmarks: Column) -> Column:
     """0 (profile) to 1 (frontal) by the nose's place between the eyes and above the chin."""
-    nose, left, right, chin = (landmarks[k] for k in ("nose_tip", "left_eye", "right_eye", "chin"))
-    there = F.coalesce(F.size(nose), F.lit(0)) > 0
-    for x in (left, right, chin):
-        there = there & (F.coalesce(F.size(x), F.lit(0)) > 0)
-    tip, low = _middle(nose), _middle(chin)
-    eye = lambda p: F.struct(_mean(p, "x").alias("x"), _mean(p, "y").alias("y"))
-    a, b = distance(tip, eye(left)), distance(tip, eye(right))
-    far, middle = F.greatest(a, b), (_mean(left, "y") + _mean(right, "y")) / 2
-    height = low["y"] - middle
-    pitch = 1 - F.least(F.abs((tip["y"] - middle) / height - 0.4) * 3, F.lit(1.0))
-    return F.when(there & (far >= 1e-6) & (height >= 1e-6), clip(F.least(a, b) / far * 0.7 + F.greatest(pitch, F.lit(0.0)) * 0.3, 0, 1)).otherwise(F.lit(0.0))
+    def score(m: Column) -> Column:
+        return F.when((m["far"] >= 1e-6) & (m["height"] >= 1e-6), clip(m["near"] / m["far"] * 0.7 + F.greatest(1 - F.least(F.abs(m["drop"] / m["height"] - 0.4) * 3, F.lit(1.0)), F.lit(0.0)) * 0.3, 0, 1)).otherwise(F.lit(0.0))
+
+    def measured(p: Column) -> Column:
+        a, b, middle = distance(p["tip"], p["left"]), distance(p["tip"], p["right"]), (p["left"]["y"] + p["right"]["y"]) / 2
+        return bound(F.struct(F.greatest(a, b).alias("far"), F.least(a, b).alias("near"), (p["low"]["y"] - middle).alias("height"), (p["tip"]["y"] - middle).alias("drop")), score)
+
+    def of(marks: Column) -> Column:
+        nose, left, right, chin = (marks[k] for k in ("nose_tip", "left_eye", "right_eye", "chin"))
+        there = F.coalesce(F.size(nose), F.lit(0)) > 0
+        for x in (left, right, chin):
+            there = there & (F.coalesce(F.size(x), F.lit(0)) > 0)
+        points = F.struct(_middle(nose).alias("tip"), _middle(chin).alias("low"), bound(left, _centre).alias("left"), bound(right, _centre).alias("right"))
+        return F.when(there, bound(points, measured)).otherwise(F.lit(0.0))
+
+    return bound(landmarks, of)
 
 
 def sharpness(laplacian_variance: Column) -> Column:
@@ -102,7 +118,30 @@ def reference_score(faces: Column, fill: Column, sharp: Column, light: Column, l
     if landmarks is None:
         return F.when(faces == 1, plain).otherwise(F.lit(0.0))
     none = F.array().cast("array<struct<x:int,y:int>>")
-    ear = (eye_aspect_ratio(F.coalesce(landmarks["left_eye"], none)) + eye_aspect_ratio(F.coalesce(landmarks["right_eye"], none))) / 2
-    eyes = clip((ear - 0.15) / 0.15, 0, 1)
-    full = clip(frontality(landmarks) * 0.30 + eyes * 0.20 + fill * 0.15 + sharp * 0.20 + light * 0.15, 0, 1)
-    return F.when(faces != 1, F.lit(0.0)).when(landmarks.isNull(), plain).otherwise(full)
+
+    def full(marks: Column) -> Column:
+        ear = (eye_aspect_ratio(F.coalesce(marks["left_eye"], none)) + eye_aspect_ratio(F.coalesce(marks["right_eye"], none))) / 2
+        eyes = clip((ear - 0.15) / 0.15, 0, 1)
+        return clip(frontality(marks) * 0.30 + eyes * 0.20 + fill * 0.15 + sharp * 0.20 + light * 0.15, 0, 1)
+
+    return F.when(faces != 1, F.lit(0.0)).when(landmarks.isNull(), plain).otherwise(bound(landmarks, full))
+
+
+def wears_glasses(vertical: Column, canny: Column, bridge: Column) -> Column:
+    """Whether the edges around the eyes and on the bridge of the nose look like a pair of glasses."""
+    return ((vertical > 0.28) & (canny > 0.23)) | ((bridge > 0.33) & (canny > 0.20))
+
+
+def roi(points: Column, box: list[Column], width: Column, height: Column) -> list[Column]:
+    """Centre and size of a region: the padded box's size around a blend of the landmarks' middle and the box's."""
+    x, y = (lambda k: F.get(F.get(points, F.lit(k)), F.lit(0))), (lambda k: F.get(F.get(points, F.lit(k)), F.lit(1)))
+    x1, y1, x2, y2 = padded_box(*box, width, height)
+    w, h = F.greatest((x2 - x1).cast("double"), F.lit(2.0)), F.greatest((y2 - y1).cast("double"), F.lit(2.0))
+    mid_x = sum((x(k) for k in range(1, 5)), x(0)) / 5
+    mid_y = ((y(0) + y(1)) / 2 + (y(3) + y(4)) / 2) / 2 + h * 0.08
+    return [mid_x * 0.65 + (box[0] + box[2]) / 2 * 0.35, mid_y * 0.65 + (box[1] + box[3]) / 2 * 0.35, w, h]
+
+
+def duration(frames: Column, fps: Column) -> Column:
+    """Seconds of a video; 0 without a rate."""
+    return F.when(fps > 0, frames / fps).otherwise(F.lit(0.0))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,16 +55,31 @@ def after_reasoning(text: Column, mark: str = "</think>") -> Column:
     return F.when(at > 0, F.regexp_replace(F.substring(text, at + len(mark), F.length(text)), r"^\s+", "")).otherwise(text)
 
 
+def error_texts(body: Column) -> Column:
+    """The strings in a JSON payload at any depth, in order, without the names of fields; any other text is one string."""
+    quoted = r'"((?:[^"\\]|\\.)*)"(\s*:)?'
+    string = lambda x: F.get(F.from_json(F.concat(F.lit('["'), x, F.lit('"]')), "array<string>"), F.lit(0))
+    found = F.zip_with(F.regexp_extract_all(body, F.lit(quoted), F.lit(1)), F.regexp_extract_all(body, F.lit(quoted), F.lit(2)), lambda x, name: F.when(name == "", string(x)))
+    values = F.filter(found, lambda x: x.isNotNull())
+    return F.when(body.isNull(), F.array().cast("array<string>")).when(F.ltrim(body).rlike(r"^[{\[]"), values).otherwise(F.array(body))
+
+
 def flat_errors(parts: Column) -> Column:
     """Distinct non-null strings in order, one to a line, in lower case."""
     return F.lower(F.array_join(F.array_distinct(F.filter(parts, lambda x: x.isNotNull() & (x != ""))), "\n"))
 
 
-def retries(message: Column, marks: tuple[str, ...]) -> Column:
-    out = F.lit(False)
-    for m in marks:
-        out = out | message.contains(m)
-    return out
+# What a message holds when an answer is worth another try.
+_TOKENS = ("token count",), ("truncation='max_length'", 'truncation="max_length"'), ("image", "video")
+_PROCESSOR = ("failed to apply qwen",), ("processor",), ("image",)
+
+
+def worth_retrying(message: Column) -> Column:
+    """Whether a flattened error is one that a smaller input can mend."""
+    def every(groups: tuple[tuple[str, ...], ...]) -> Column:
+        return functools.reduce(Column.__and__, (functools.reduce(Column.__or__, (message.contains(x) for x in group)) for group in groups))
+
+    return every(_TOKENS) | every(_PROCESSOR)
 
 
 def halvings(n: Column) -> Column:
@@ -84,6 +101,17 @@ def output_dir(name: Column, prefix: str = "desc-vllm-") -> Column:
     return F.concat(F.lit(prefix), F.replace(name, F.lit("/"), F.lit("_")))
 
 
+def message_texts(transcript: Column, lines: Column, prompt: Column, more: Column) -> Column:
+    """The text parts of a message that are there, in order: transcript, listed segments, prompt, request to go on."""
+    # The wording around them.
+    heard = F.lit("Here is an automatic transcription of the video's audio track. Use it together with the visual frames to better understand the scene, dialogue, speakers, and any on-screen text they mention:\n\n")
+    listed = F.lit("Timestamp-aligned audio segments with approximate frame ranges:\n")
+    further = F.lit("Continue describing the video in more detail, focusing on any aspects you haven't mentioned yet.")
+    full = lambda x: x.isNotNull() & (x != "")
+    parts = F.array(F.when(full(transcript), F.concat(heard, transcript)), F.when(F.size(lines) > 0, F.concat(listed, F.array_join(lines, "\n"))), F.when(full(prompt), prompt), F.when(more, further))
+    return F.filter(parts, lambda x: x.isNotNull())
+
+
 def resized(width: Column, height: Column, edge: int) -> list[Column]:
     """Width and height scaled so that the longest edge is at most ``edge``."""
     scale = F.least(F.lit(1.0), F.lit(float(edge)) / F.greatest(width, height))
@@ -98,3 +126,16 @@ def frame_range(start: Column, end: Column, fps: Column, frames: Column) -> list
     inside = lambda x: F.least(x, frames - 1)
     first = F.when(frames > 0, inside(F.greatest(F.lit(0), a))).otherwise(a)
     return [first, F.when(frames > 0, inside(F.greatest(first, b))).otherwise(b)]
+
+
+def model_family(path: Column) -> Column:
+    """The family of a swap model by its file's stem, the most specific name first."""
+    stem, kind = F.lower(F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"(?<=.)\.[^.]+$", "")), None
+    for name in ("uniface", "hyperswap", "blendswap", "simswap"):  # fixed values
+        kind = F.when(stem.contains(name), name) if kind is None else kind.when(stem.contains(name), name)
+    return kind.otherwise("inswapper")
+
+
+def tensor_role(shape: Column) -> Column:
+    """What an input of a model takes, by its shape."""
+    return F.when(F.size(shape) == 2, "embedding").when(F.size(shape) == 4, F.when(F.get(shape, F.lit(1)) == 3, "image").otherwise("embedding")).otherwise("unknown")

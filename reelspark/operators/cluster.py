@@ -11,7 +11,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reelspark.functions import vec
+from reelspark.functions.geometry import iou
 from reelspark.operators.fold import Fold, ordered_fold
+from reelspark.session import cut
 
 
 class Known:
@@ -98,23 +100,30 @@ def largest_face(faces: DataFrame, image: Sequence[str], area: Column, order: st
     return rows.groupBy(*image).agg(best.alias("_b")).select("_b.*").where(F.col("enc").isNotNull())
 
 
-def gallery_match(tracks: DataFrame, gallery: DataFrame, default: float, most_gallery: int = 100_000) -> DataFrame:
+def gallery_match(tracks: DataFrame, gallery: DataFrame, default: float, most_gallery: int = 100_000, block: int = 1000) -> DataFrame:
     """``tracks`` (track_id, enc, ...) with the best gallery label and similarity.
 
     The best similarity starts at 0, so others lose; below its label's threshold the label is null.
-    A gallery of a checked size is broadcast; a larger one is compared block by block.
+    A gallery of at most ``most_gallery`` rows is broadcast. A larger one is parted into blocks; each
+    track meets each block in a join on the block's number, with copies of the blocks for parts of
+    the tracks, so that no task has all the tracks of a block.
     """
     g = gallery.select("label", F.col("enc").alias("_g"), "threshold", F.col("ord").alias("_ord"))
-    small = gallery.limit(most_gallery + 1).count() <= most_gallery
+    size = gallery.count()
     usable = F.col("enc").isNotNull() & (F.col("track_id") != -1)
-    if small:
-        blocks = F.broadcast(g.groupBy().agg(F.collect_list(F.struct("_ord", "label", "_g", "threshold")).alias("_all")))
-    else:
-        blocks = g.groupBy(F.floor(F.col("_ord") / 1000)).agg(F.collect_list(F.struct("_ord", "label", "_g", "threshold")).alias("_all")).select("_all")
     sim = lambda x: F.struct((1 - vec.cosine_distance(F.col("enc"), x["_g"])).alias("sim"), (-x["_ord"]).alias("o"), x["label"].alias("label"), x["threshold"].alias("threshold"))
-    joined = tracks.join(blocks, how="left").withColumn("_best", F.when(usable, F.array_max(F.filter(F.transform("_all", sim), lambda x: x["sim"] > 0)))).drop("_all")
-    if not small:
-        joined = joined.groupBy(*tracks.columns).agg(F.max("_best").alias("_best"))
+    best = F.array_max(F.filter(F.transform("_all", sim), lambda x: x["sim"] > 0))
+    all_ = F.collect_list(F.struct("_ord", "label", "_g", "threshold")).alias("_all")
+    if size <= most_gallery:
+        joined = tracks.join(F.broadcast(g.groupBy().agg(all_)), how="left").withColumn("_best", F.when(usable, best)).drop("_all")
+    else:
+        n = -(-size // block)
+        tracks = cut(tracks.withColumn("_row", F.monotonically_increasing_id()))
+        parts = -(-tracks.count() // 10_000)
+        blocks = g.groupBy(F.pmod(F.xxhash64("_ord", "label"), F.lit(n)).alias("_block")).agg(all_).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(max(parts, 1) - 1))))
+        some = tracks.where(usable).select("_row", "enc", F.pmod(F.xxhash64("_row"), F.lit(max(parts, 1))).cast("int").alias("_part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("_block"))
+        found = some.join(blocks, ["_block", "_part"]).select("_row", best.alias("_best")).groupBy("_row").agg(F.max("_best").alias("_best"))
+        joined = tracks.join(found, "_row", "left").drop("_row")
     best = F.col("_best")
     out = joined.withColumn("best_sim", F.coalesce(best["sim"], F.lit(0.0)))
     return out.withColumn("best_label", F.when(F.col("best_sim") >= F.coalesce(best["threshold"], F.lit(default)), best["label"])).drop("_best")
@@ -147,3 +156,25 @@ def without_eyewear(portraits: DataFrame, label: str = "label", flag: str = "eye
     """Portraits without eyewear; all of them where a label would lose its last one."""
     clean = F.max((~F.col(flag)).cast("int")).over(W.partitionBy(label))
     return portraits.withColumn("_clean", clean).where((F.col("_clean") == 0) | ~F.col(flag)).drop("_clean")
+
+
+def encodings_of_boxes(queries: DataFrame, faces: DataFrame, image: Sequence[str], size: int = 512) -> DataFrame:
+    """Adds enc and overlap to each query box: those of the face of its image that overlaps it most, the first of equal ones.
+
+    ``queries``: image keys, q_ord, top, right, bottom, left. ``faces``: image keys, f_ord, box (x1, y1, x2,
+    y2), enc. A box without an overlapping face, or one whose face has no encoding, has zeros; images
+    without faces have no rows.
+    """
+    corner = [F.get("box", F.lit(k)).cast("int").cast("double") for k in range(4)]
+    both = queries.join(faces.select(*image, "f_ord", F.array(*corner).alias("_box"), F.col("enc").alias("_enc")), list(image))
+    overlap = iou([F.col(c).cast("double") for c in ("left", "top", "right", "bottom")], [F.get("_box", F.lit(k)) for k in range(4)])
+    best = F.max_by(F.struct("overlap", "_enc"), F.struct("overlap", -F.col("f_ord"))).alias("_best")
+    found = both.withColumn("overlap", overlap).groupBy(*queries.columns).agg(best)
+    zeros = F.array_repeat(F.lit(0.0), size)
+    return found.select(*queries.columns, F.when(F.col("_best.overlap") > 0, F.coalesce("_best._enc", zeros)).otherwise(zeros).alias("enc"), F.col("_best.overlap").alias("overlap"))
+
+
+def selected_references(scored: DataFrame, least: float, person: str = "person", path: str = "path", folder: str = "folder") -> DataFrame:
+    """(person, path, target) of photos good enough to be references: where each goes under its person's folder."""
+    good = scored.where(F.col("score") >= least)
+    return good.select(person, path, F.concat(folder, F.lit("/ref/"), F.regexp_extract(path, r"([^/]*)$", 1)).alias("target"))

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from reelspark.functions import text
 from reelspark.functions.text import clock
+from reelspark.operators.segment import effective_frames
 
 
 def in_order(order: str, text: Column, between: str) -> Column:
@@ -85,3 +87,24 @@ def rendered(segments: DataFrame, key: str = "media", order: str = "ord") -> Dat
     raw = F.trim(F.coalesce(F.first("raw"), F.lit("")))
     head = F.when(raw != "", F.concat(F.lit("Raw transcript (no timestamps):\n"), raw, F.lit("\n\n"))).otherwise(F.lit(""))
     return rows.groupBy(key).agg(F.regexp_replace(F.concat(head, F.lit("Transcript with timestamps:\n"), body), r"\s+$", "").alias("listing"))
+
+
+def messages(videos: DataFrame, segments: DataFrame, key: str = "media") -> DataFrame:
+    """(key, system, video, nframes, total_pixels, texts): the chat message about each video.
+
+    ``videos``: key, path, width, height, fps, num_frames, nframes, total_pixels, spf, prompt, system,
+    more, transcript, video_only. ``segments``: key, ord, start_s, end_s, text; one without both
+    times is left out but counts in the numbers of the others. A message of ``video_only`` names
+    neither frames nor pixels.
+    """
+    told = segments.withColumn("_no", F.row_number().over(W.partitionBy(key).orderBy("ord"))).where("start_s is not null and end_s is not null").join(videos.select(key, F.col("fps").alias("_fps"), F.col("num_frames").alias("_frames")), key)
+    first, last = text.frame_range(F.col("start_s"), F.col("end_s"), F.coalesce("_fps", F.lit(0.0)), F.col("_frames"))
+    shown = F.when(F.trim(F.coalesce("text", F.lit(""))) == "", "<no text>").otherwise(F.trim("text"))
+    line = F.concat(F.lit("Segment "), F.col("_no"), F.lit(": "), text.clock(F.col("start_s")), F.lit(" – "), text.clock(F.col("end_s")), F.lit(" (frames "), first, F.lit("–"), last, F.lit(")\n"), shown)
+    lines = told.select(key, "_no", line.alias("_line")).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_no", "_line"))), lambda x: x["_line"]).alias("_lines"))
+    both = videos.join(lines, key, "left")
+    shown_only = lambda x: F.when(~F.col("video_only"), x)
+    frames = effective_frames(F.col("nframes"), F.col("num_frames"), F.col("fps"), F.col("spf"))
+    pixels = F.when(F.col("total_pixels") > 0, F.col("total_pixels")).otherwise(F.col("width") * F.col("height"))
+    texts = text.message_texts(F.col("transcript"), F.coalesce("_lines", F.array().cast("array<string>")), F.col("prompt"), F.col("more"))
+    return both.select(key, F.when(F.col("system") != "", F.col("system")).alias("system"), F.col("path").alias("video"), shown_only(frames).alias("nframes"), shown_only(pixels).alias("total_pixels"), texts.alias("texts"))

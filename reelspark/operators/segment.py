@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from reelspark.functions.geometry import bound
 from reelspark.operators.fold import Fold, native_fold, ordered_fold
 
 
@@ -25,10 +27,30 @@ def effective_frames(requested: Column, frames: Column, fps: Column, seconds_per
     return F.least(F.lit(most), F.when(seconds_per_frame > 0, by_time).otherwise(requested))
 
 
-def resampled(start: Column, end: Column, step: Column) -> Column:
-    """Whole frame numbers start, start + step, ... below end."""
-    n = F.greatest(F.lit(0), F.ceil((end - start) / step).cast("int"))
-    return F.filter(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: (start + i * step).cast("int")), lambda x: x < end)
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _stepped(start: pd.Series, end: pd.Series, step: pd.Series) -> pd.Series:
+    """Positions start, start + step, ... below end, summed up step by step: the rounding of the sums decides their frames."""
+    def one(s: float, e: float, d: float) -> np.ndarray | None:
+        if not s < e:  # also where one of them is missing
+            return None if np.isnan([s, e, d]).any() else np.zeros(0, np.int32)
+        sums = np.full(int((e - s) / d) + 3, d)
+        sums[0] = s
+        sums = np.cumsum(sums)
+        return sums[sums < e].astype(np.int32)
+
+    return pd.Series([one(*x) for x in zip(start, end, step, strict=True)])
+
+
+def resampled(start_s: Column, end_s: Column, total: Column, video_fps: Column, fps: Column) -> Column:
+    """Frame numbers sampled ``fps`` times a second between two times of a video of ``total`` frames.
+
+    An end that is not after the start means the end of the video; a video without a rate has 25
+    frames a second; a rate of 0 samples once a second; a rate above the video's takes each frame once.
+    """
+    rate = F.when(video_fps > 0, video_fps.cast("double")).otherwise(F.lit(25.0))
+    start = (start_s * rate).cast("int").cast("double")
+    end = F.when(end_s > start_s, F.least((end_s * rate).cast("int"), total.cast("int"))).otherwise(total.cast("int")).cast("double")
+    return _stepped(start, end, F.when(fps > 0, F.greatest(F.lit(1.0), rate / fps)).otherwise(rate))
 
 
 def even_choice(n: Column, k: Column) -> Column:
@@ -84,20 +106,19 @@ def anchored_segments(frames: DataFrame, tolerance: float, every_n: int, distanc
 def anchored_runs(frames: DataFrame, tolerance: float, every_n: int, key: str = "video", value: str = "v") -> DataFrame:
     """The same for scalar values and short timelines, folded in the JVM. Rows: key, segment, start_frame, end_frame, n, anchor."""
     run = "struct<start_frame:int,end_frame:int,n:int,anchor:double>"
-    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.array().cast(f"array<{run}>").alias("runs"))
+    start = F.struct(F.lit(None).cast(run).alias("open"), F.array().cast(f"array<{run}>").alias("runs"))
 
     def step(a: Column, x: Column) -> Column:
-        last = F.element_at(a["runs"], -1)
-        joins = a["anchor"].isNotNull() & (F.abs(x["value"] - a["anchor"]) <= tolerance)
-        longer = F.struct(last["start_frame"].alias("start_frame"), x["frame_idx"].alias("end_frame"), (last["n"] + 1).alias("n"), last["anchor"].alias("anchor"))
         fresh = F.struct(x["frame_idx"].alias("start_frame"), x["frame_idx"].alias("end_frame"), F.lit(1).alias("n"), x["value"].alias("anchor"))
-        more = F.struct(a["anchor"].alias("anchor"), F.array_append(F.slice(a["runs"], 1, F.greatest(F.size(a["runs"]) - 1, F.lit(0))), longer).alias("runs"))
-        opened = F.struct(x["value"].alias("anchor"), F.array_append(a["runs"], fresh).alias("runs"))
-        closed = F.struct(F.lit(None).cast("double").alias("anchor"), a["runs"].alias("runs"))
-        return F.when(x["value"].isNull(), closed).when(joins, more).otherwise(opened)
+        longer = F.struct(a["open"]["start_frame"].alias("start_frame"), x["frame_idx"].alias("end_frame"), (a["open"]["n"] + 1).alias("n"), a["open"]["anchor"].alias("anchor"))
+        joins = a["open"].isNotNull() & (F.abs(x["value"] - a["open"]["anchor"]) <= tolerance)
+        # The list of closed runs is copied only when a run closes.
+        closed = F.when(a["open"].isNull() | F.coalesce(joins, F.lit(False)), a["runs"]).otherwise(F.array_append(a["runs"], a["open"]))
+        return F.struct(F.when(x["value"].isNull(), F.lit(None).cast(run)).when(joins, longer).otherwise(fresh).alias("open"), closed.alias("runs"))
 
     folded = native_fold(F.struct(F.col("frame_idx").cast("int").alias("frame_idx"), F.col(value).cast("double").alias("value")), F.col("frame_idx"), start, step)
-    rows = frames.groupBy(key).agg(folded["runs"].alias("runs")).select(key, F.posexplode("runs").alias("k", "r"))
+    runs = bound(folded, lambda a: F.when(a["open"].isNull(), a["runs"]).otherwise(F.array_append(a["runs"], a["open"])))
+    rows = frames.groupBy(key).agg(runs.alias("runs")).select(key, F.posexplode("runs").alias("k", "r"))
     return rows.select(key, (F.col("k") + 1).alias("segment"), "r.start_frame", (F.col("r.end_frame") + every_n - 1).alias("end_frame"), "r.n", "r.anchor")
 
 
@@ -188,5 +209,3 @@ def scene_cuts(frames: DataFrame, threshold: float, cooldown: int = 30, key: str
     rows = frames.select(key, F.col("frame_idx").cast("int").alias("frame_idx"), F.col("diff").cast("double").alias("diff"))
     return ordered_fold(rows, [key], ["frame_idx"], lambda: _Cuts(threshold, cooldown, (key,)), f"{key} {kind}, frame_idx int, cut boolean, scene_id int")
 
-
-INFINITE = math.inf

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from reelspark.functions import text
+from reelspark.functions import geometry, text
 from reelspark.operators import joins
 from reelspark.plans.views import duck, rows
+from reelspark.session import cut
 from reelspark.sources import scans
 
 _PATHS = """select source || '/' || lang || '/' || doc_id || case doc_id % 8 when 0 then '.MP4' when 1 then '.mov' when 2 then '.txt' when 3 then '.JPeG' when 4 then '.png' when 5 then '.webm' when 6 then '.tar.gz' else '' end as path, doc_id as row_ord from {documents}"""
@@ -28,15 +31,20 @@ def a3_flat_scan(spark, d):
 
 
 def a4_input_union(spark, d):
-    """Paths of two scans and a list file, each once, by the first that names it."""
+    """Paths of a pattern, a folder's usual suffixes and a list file, each once, by the first that names it."""
     paths = rows(spark, d, _PATHS)
-    listed = scans.listed(paths.select("row_ord", F.when(F.col("row_ord") % 5 == 0, F.concat(F.lit("# "), "path")).when(F.col("row_ord") % 7 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), "path")).alias("line")))
-    return joins.first_of_each([scans.of_kind(paths, scans.VIDEO), scans.of_kind(paths, ("webm", "png")), listed])
+    line = F.when(F.col("row_ord") % 5 == 0, F.concat(F.lit("# "), "path")).when(F.col("row_ord") % 7 == 0, F.lit("  ")).when(F.col("row_ord") % 3 == 0, F.concat(F.lit(" gone/../"), "path")).otherwise(F.concat(F.lit(" ./no"), "path"))
+    return scans.inputs(paths.select(F.concat(F.lit("/data/"), "path").alias("path")), "/data", patterns=["src1*/*/*.mov"], lists=paths.select("row_ord", line.alias("line")))
+
+
+_DICTIONARIES = "select p_brand as dictionary, p_partkey as part, 'n' || p_partkey || case when p_size % 7 = 0 then '' else '_' || p_type end as name, case when p_size % 10 = 0 then '9' when p_size % 3 = 0 then '' else '0' end as category from {part}"
 
 
 def a5_tag_dictionary(spark, d):
-    """The dictionary as rows: index by part key, missing categories 0."""
-    return rows(spark, d, "select p_partkey as idx, p_brand || '_' || p_type as name, case when p_size % 10 = 0 then 9 when p_size % 7 = 0 then null else 0 end as category from {part}").withColumn("category", F.coalesce("category", F.lit(0)))
+    """Tag dictionaries, here one text for each brand: the index is the line's place."""
+    lines = F.array_sort(F.collect_list(F.struct("part", F.concat_ws(",", F.col("part"), "name", "category", F.lit("x")).alias("line"))))
+    texts = rows(spark, d, _DICTIONARIES).groupBy("dictionary").agg(F.concat(F.lit("id,name,category,count\n"), F.array_join(F.transform(lines, lambda x: x["line"]), "\r\n"), F.lit("\n\n")).alias("value"))
+    return scans.tag_dictionary(texts).withColumn("category", F.col("category").cast("long"))
 
 
 _JSON = """select c_custkey as run, case when c_custkey % 3 = 0 then '{{"characters":[{{"find":"faces/' || c_mktsegment || '","replace":"p/x"}},{{"label":"second","reference_paths":["a","b"],"portrait_paths":[],"similarity_threshold":0.7}}]}}'
@@ -53,7 +61,7 @@ _VIDEO = "select o_orderkey as video, o_custkey * 3 + 1 as num_frames, cast(case
 
 
 def a9_video_info(spark, d):
-    duration = F.when(F.col("fps") > 0, F.col("num_frames") / F.col("fps")).otherwise(F.lit(0.0))
+    duration = geometry.duration(F.col("num_frames"), F.col("fps"))
     return rows(spark, d, _VIDEO).select("video", "num_frames", F.round(duration, 6).alias("seconds"), F.round(duration / 60, 6).alias("minutes"))
 
 
@@ -63,8 +71,13 @@ def a11_metadata(spark, d):
 
 
 def a12_sidecars(spark, d):
-    """Rows of the text sink: a stem and its text."""
-    return rows(spark, d, _PATHS).select("row_ord", F.concat(F.regexp_replace("path", r"\.[^./]+$", ""), F.lit(".txt")).alias("sidecar"))
+    """Texts written beside their files, and read again."""
+    folder = f"{spark.sparkContext.getCheckpointDir()}/sidecars-{uuid.uuid4()}"
+    texts = rows(spark, d, "select doc_id, text from {documents}").join(rows(spark, d, _PATHS).withColumnRenamed("row_ord", "doc_id"), "doc_id")
+    made = scans.write_sidecars(texts.select(F.concat(F.lit(folder + "/"), scans.sidecar_path(F.col("path"))).alias("path"), "text"))
+    made = cut(made.groupBy("status").count())
+    back = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True).select(F.md5("value").alias("md5"), F.regexp_extract(F.col("_metadata.file_path"), r"sidecars-[^/]*/(.*)$", 1).alias("sidecar"))
+    return back.join(F.broadcast(made), how="cross").select("sidecar", "md5", "status")
 
 
 def a13_media_paths(spark, d):
@@ -76,12 +89,16 @@ def a15_command_line(spark, d):
     return rows(spark, d, "select p_partkey as part, p_size as size, p_brand as brand, p_type as type from {part}").select("part", F.array_join(scans.command_line(options), "|").alias("argv"))
 
 
-_CONF = "select c_custkey as run, case when c_custkey % 4 = 0 then '' else c_name end as input, case when c_custkey % 5 = 0 then null else c_name end as output, c_nationkey % 6 as n, c_custkey % 3 as refs, c_custkey % 2 as portraits, c_mktsegment as label from {customer}"
+_CONF = "select c_custkey as run, case when c_custkey % 4 = 0 then '' else c_name end as input_video, case when c_custkey % 5 = 0 then null else c_name end as output_video, cast(c_nationkey % 6 as int) as n from {customer}"
 
 
 def b12_config_errors(spark, d):
-    errors = scans.config_errors(*(F.col(c) for c in ("input", "output", "n", "refs", "portraits", "label")))
-    return rows(spark, d, _CONF).select("run", F.size(errors).cast("long").alias("n"), F.array_join(errors, "; ").alias("errors"))
+    runs = rows(spark, d, _CONF)
+    paths = lambda kind, n: F.transform(F.slice(F.array(F.lit(1), F.lit(2), F.lit(3)), 1, n.cast("int")), lambda k: F.concat(F.lit(kind), F.col("run") + k, F.lit("_"), F.col("ord")))
+    many = runs.withColumn("ord", F.explode(F.slice(F.array(*map(F.lit, range(6))), 1, F.col("n")))).select("run", "ord", F.concat(F.lit("n"), "ord").alias("source_label"), paths("r", (F.col("run") + F.col("ord")) % 3).alias("reference_paths"), paths("p", (F.col("run") + 2 * F.col("ord")) % 4).alias("portrait_paths"))
+    there = rows(spark, d, "select c_name as path from {customer} where c_custkey % 7 <> 0 union all select 'r' || c_custkey || '_' || k from {customer}, (select explode(sequence(0, 5)) as k) where c_custkey % 3 <> 0 union all select 'p' || c_custkey || '_' || k from {customer}, (select explode(sequence(0, 5)) as k) where c_custkey % 4 <> 0")
+    got = scans.config_errors(runs, many, there)
+    return got.select("run", F.size("errors").cast("long").alias("n"), F.array_join("errors", "; ").alias("errors"))
 
 
 def b13_argument_ranges(spark, d):
@@ -169,18 +186,26 @@ ORACLES = {
     "a1_video_scan": f"select path from ({_P}) where {_KIND} in {_in(scans.VIDEO)}",
     "a2_image_scan": f"select path from ({_P}) where {_KIND} in {_in(scans.IMAGE)}",
     "a3_flat_scan": f"select path from ({_P}) where {_KIND} in {_in(scans.IMAGE)} order by path",
-    "a4_input_union": f"""select path, src_ord, row_ord from (select *, row_number() over (partition by path order by src_ord, row_ord) as k from (select path, 0 as src_ord, row_ord from ({_P}) where {_KIND} in {_in(scans.VIDEO)}
- union all select path, 1, row_ord from ({_P}) where {_KIND} in ('webm', 'png') union all select path, 2, row_ord from ({_P}) where row_ord % 5 <> 0 and row_ord % 7 <> 0)) where k = 1""",
-    "a5_tag_dictionary": "select p_partkey as idx, p_brand || '_' || p_type as name, case when p_size % 10 = 0 then 9 else 0 end as category from part",
+    "a4_input_union": f"""select path, src_ord::int as src_ord, row_ord from (select *, row_number() over (partition by path order by src_ord, row_ord nulls first) as k from (select '/data/' || path as path, 0 as src_ord, null as row_ord from ({_P}) where regexp_full_match(path, 'src1[^/]*/[^/]*/[^/]*\\.mov')
+ union all select '/data/' || path, list_position({list(scans.DEFAULT_INPUT)!r}, regexp_extract(path, '\\.[^./]+$')), null from ({_P}) where regexp_extract(path, '\\.[^./]+$') in {_in(scans.DEFAULT_INPUT)}
+ union all select '/data/' || path, 1000000, row_ord from ({_P}) where row_ord % 5 <> 0 and row_ord % 7 <> 0 and row_ord % 3 = 0)) where k = 1""",
+    "a5_tag_dictionary": f"select dictionary, row_number() over (partition by dictionary order by part) - 1 as idx, name, case category when '9' then 9 else 0 end::bigint as category from ({duck(_DICTIONARIES)})",
     "a8_json_config": """select c_custkey as run, 0::bigint as ord, c_mktsegment as source_label, true as from_folders, -1::bigint as refs, 0.5::double as similarity_threshold from customer where c_custkey % 3 = 0
  union all select c_custkey, 1, 'second', false, 2, 0.7 from customer where c_custkey % 3 = 0 union all select c_custkey, 0, 'n' || c_nationkey, false, 1, 0.5 from customer where c_custkey % 3 = 1""",
     "a9_video_info": f"select video, num_frames, round(s, 6) as seconds, round(s / 60, 6) as minutes from (select *, case when fps > 0 then num_frames / fps else 0.0 end as s from ({duck(_VIDEO)}))",
     "a11_metadata": "select event_id, json_extract(props, '$.k')::bigint as k from events",
-    "a12_sidecars": f"select row_ord, regexp_replace(path, '\\.[^./]+$', '') || '.txt' as sidecar from ({_P})",
+    "a12_sidecars": f"select regexp_replace(path, '\\.[^./]+$', '') || '.txt' as sidecar, md5(text) as md5, 'created' as status from ({_P}) join documents on doc_id = row_ord",
     "a13_media_paths": "select o_orderkey as video, printf('person_%02d/seg_%03d', o_custkey % 30, o_orderkey % 1200) as path from orders",
     "a15_command_line": """select p_partkey as part, concat_ws('|', case when p_size % 5 = 0 then '--a-b|' || p_brand end, case when p_size % 3 = 0 then '--names|' || p_brand || '|' || p_type end, case when p_size % 2 = 0 then '--verbose' end, '--window-size|' || p_size) as argv from part""",
-    "b12_config_errors": f"""select run, len(e) as n, array_to_string(e, '; ') as errors from (select run, list_filter([case when input = '' then 'input_video is required' end, case when output is null then 'output_video is required' end, case when n = 0 then 'At least one character mapping is required' end,
- case when n > 3 then 'Maximum of 3 character replacements supported' end, case when n > 0 and refs = 0 then 'no reference images for ' || label end, case when n > 0 and portraits = 0 then 'no portrait images for ' || label end], lambda x: x is not null) as e from ({duck(_CONF)}))""",
+    "b12_config_errors": f"""with r as ({duck(_CONF)}), c as (select run, ord, 'n' || ord as l, list_transform(range(1, (run + ord) % 3 + 1), lambda k: 'r' || (run + k) || '_' || ord) as refs, list_transform(range(1, (run + 2 * ord) % 4 + 1), lambda k: 'p' || (run + k) || '_' || ord) as ports from (select run, unnest(range(n)) as ord from r)),
+f as (select c_name as path from customer where c_custkey % 7 <> 0 union all select 'r' || c_custkey || '_' || k from customer, range(6) as t(k) where c_custkey % 3 <> 0 union all select 'p' || c_custkey || '_' || k from customer, range(6) as t(k) where c_custkey % 4 <> 0),
+e as (select run, case when input_video = '' then 'input_video is required' else 'input_video not found: ' || input_video end as error, 0 as k, 0 as ord, 0 as part, 0 as place from r where input_video = '' or input_video not in (select path from f)
+ union all select run, 'output_video is required', 1, 0, 0, 0 from r where output_video is null union all select run, 'At least one character mapping is required', 2, 0, 0, 0 from r where n = 0 union all select run, 'Maximum of 3 character replacements supported', 3, 0, 0, 0 from r where n > 3
+ union all select run, 'Character ' || chr(39) || l || chr(39) || ' has no reference images (needed to identify the face in the video)', 5, ord, 0, 0 from c where len(refs) = 0
+ union all select run, 'Reference image not found for ' || chr(39) || l || chr(39) || ': ' || path, 5, ord, 1, place from (select run, ord, l, unnest(refs) as path, unnest(range(len(refs))) as place from c) where path not in (select path from f)
+ union all select run, 'Character ' || chr(39) || l || chr(39) || ' has no portrait images (the replacement face)', 5, ord, 2, 0 from c where len(ports) = 0
+ union all select run, 'Portrait not found for ' || chr(39) || l || chr(39) || ': ' || path, 5, ord, 3, place from (select run, ord, l, unnest(ports) as path, unnest(range(len(ports))) as place from c) where path not in (select path from f))
+select r.run, count(e.error) as n, coalesce(string_agg(e.error, '; ' order by k, ord, part, place), '') as errors from r left join e using (run) group by r.run""",
     "b13_argument_ranges": "select l_orderkey as run, l_partkey as part, l_suppkey as supp, l_linenumber > 3 as positive, l_discount * 12 between 0 and 1 as in_unit, l_quantity > 0 and l_quantity <= 30 as chunk_ok from lineitem",
     "h1_copied_captions": f"""with i as (select *, {_STEM} as source_stem from ({_IM})), c as (select rel_dir, source_stem, 'text ' || min(doc_id) as text from i where doc_id % 8 < 6 group by all),
 o as (select distinct rel_dir, stem, true as there from ({_IM}) where doc_id % 3 = 0)

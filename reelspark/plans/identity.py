@@ -102,13 +102,14 @@ c as (select label, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))
 d7 as (select label, face_id, det_score, coalesce(list_dot_product(u, c), -1.0) as centrality, row_number() over (partition by label order by round(coalesce(list_dot_product(u, c), -1.0), 12) desc, det_score desc, face_id) as rank, c from u left join c using (label))"""
 
 
+_QUERY = """select event_id % 4000 as video, cast(event_id % 7 as int) as frame_idx, cast(event_id as bigint) as q_ord, cast(20 + event_id % 160 as int) as top, cast(20 + event_id % 230 + 300 as int) as right, cast(20 + event_id % 160 + 280 as int) as bottom, cast(20 + event_id % 230 as int) as left from {events}"""
+
+
 def d9_best_overlap(spark, d):
-    """The detection of each frame that overlaps a fixed query box most."""
-    boxes = rows(spark, d, BOXES)
-    query = [F.lit(float(x)) for x in (60, 60, 360, 360)]
-    boxes = boxes.withColumn("overlap", geometry.iou([F.col(c) for c in ("x1", "y1", "x2", "y2")], query))
-    best = F.max_by(F.struct("det_ord", "overlap"), F.struct("overlap", -F.col("det_ord"))).alias("b")
-    return boxes.groupBy("video", "frame_idx").agg(best).select("video", "frame_idx", F.when(F.col("b.overlap") > 0, F.col("b.det_ord")).alias("det_ord"), F.round("b.overlap", 9).alias("overlap"))
+    """The encodings of query boxes: here a face's encoding is its part and supplier, some faces have none."""
+    faces = rows(spark, d, BOXES).select("video", "frame_idx", F.col("det_ord").alias("f_ord"), F.array("x1", "y1", "x2", "y2").alias("box"), F.when(F.col("part") % 6 != 0, F.array(F.col("part").cast("double"), F.col("supp").cast("double"))).alias("enc"))
+    got = cluster.encodings_of_boxes(rows(spark, d, _QUERY), faces, ["video", "frame_idx"], 2)
+    return got.select("video", "frame_idx", "q_ord", F.round("overlap", 9).alias("overlap"), F.get("enc", F.lit(0)).alias("first"), F.get("enc", F.lit(1)).alias("second"))
 
 
 def d10_top_faces(spark, d):
@@ -151,8 +152,10 @@ select t.arrival, case when sim >= coalesce(threshold, 0.2) then label end as be
 select identity, k - 1 as dim, round(case when n > 0 then x / n else x end, 9) as x from l join n using (identity)""",
     "d7_central_order": f"{_D7} select label, face_id, rank, round(round(centrality, 12), 9) as centrality from d7".replace("round(round(centrality, 12), 9)", "round(centrality, 9)"),
     "d8_representatives": f"{_D7} select label, face_id, round(sqrt(list_dot_product(c, c)), 9) as length, round(c[1], 9) as first from d7 where rank = 1",
-    "d9_best_overlap": f"""with o as (select *, greatest(0.0, least(x2, 360.0) - greatest(x1, 60.0)) * greatest(0.0, least(y2, 360.0) - greatest(y1, 60.0)) as i from ({BX})), q as (select *, i / (180000.0 - i) as overlap from o)
-select video, frame_idx, case when overlap > 0 then det_ord end as det_ord, round(overlap, 9) as overlap from (select *, row_number() over (partition by video, frame_idx order by overlap desc, det_ord) as k from q) where k = 1""",
+    "d9_best_overlap": f"""select video, frame_idx, q_ord, round(o, 9) as overlap, case when o > 0 and part % 6 <> 0 then part::double else 0.0 end as first, case when o > 0 and part % 6 <> 0 then supp::double else 0.0 end as second from
+ (select *, row_number() over (partition by q_ord order by o desc, det_ord) as k from (select *, i / ((right_ - left_) * (bottom - top) + (x2 - x1) * (y2 - y1) - i) as o from
+ (select q.video, q.frame_idx, q_ord, top, "right" as right_, bottom, "left" as left_, x1, y1, x2, y2, part, supp, det_ord, greatest(0.0, least("right", x2) - greatest("left", x1)) * greatest(0.0, least(bottom, y2) - greatest(top, y1)) as i
+ from ({duck(_QUERY).replace(' as right,', ' as "right",').replace(' as left from', ' as "left" from')}) q join ({duck(BOXES)}) b on b.video = q.video and b.frame_idx = q.frame_idx))) where k = 1""",
     "d10_top_faces": f"select * from (select identity as label, arrival as face_id, row_number() over (partition by identity order by arrival * 37 % 100 desc, arrival) as k from ({FA}) where arrival % 19 <> 0) where k <= 2",
     "d11_landmarks": f"select video, frame_idx, det_ord, det_ord % 2 = 0 and frame_idx % 3 < 2 as valid, case when det_ord % 2 = 0 and frame_idx % 3 < 2 then (supp * 9 % 100)::double end as last_y from ({BX})",
     "b14_without_eyewear": f"select label, arrival, eyewear from (select *, min(eyewear::int) over (partition by label) as all_worn from (select arrival // 3 as label, arrival, arrival * 7 % 5 < 3 as eyewear from ({FA}))) where not eyewear or all_worn = 1",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reelspark.functions import geometry
-from reelspark.operators import tags
+from reelspark.operators import cluster, tags
 from reelspark.plans.views import TAGS, duck, rows
 
 TG = duck(TAGS)
@@ -77,6 +77,13 @@ def g7_references(spark, d):
     return _faces(spark, d).withColumn("score", F.round(_score(), 9)).where("score >= 0.35").groupBy("supp").agg(F.count("*").alias("references"), F.max("score").alias("best"))
 
 
+def k10_selected_references(spark, d):
+    """Where the references of each person go."""
+    path = F.concat_ws("/", F.lit("lib"), "supp", F.concat_ws("_", "video", "n", F.concat("part", F.lit(".jpg"))))
+    scored = _faces(spark, d).select(F.col("supp").alias("person"), path.alias("path"), F.concat(F.lit("lib/"), "supp").alias("folder"), F.round(_score(), 9).alias("score"))
+    return cluster.selected_references(scored, 0.35)
+
+
 def b10_passing_tags(spark, d):
     return tags.passing(rows(spark, d, TAGS), 0.35).select("video", "frame_idx", "tag_idx", "prob")
 
@@ -91,8 +98,7 @@ def g9_image_captions(spark, d):
 
 def b15_eyewear_rule(spark, d):
     vertical, canny, bridge = F.col("discount") * 4, F.col("tax") * 4, F.col("quantity") / 100
-    worn = ((vertical > 0.28) & (canny > 0.23)) | ((bridge > 0.33) & (canny > 0.20))
-    return rows(spark, d, _LINES).select(*_OUT, worn.alias("worn"))
+    return rows(spark, d, _LINES).select(*_OUT, geometry.wears_glasses(vertical, canny, bridge).alias("worn"))
 
 
 _ORDERS = "select o_orderkey as run, o_custkey as person, o_orderstatus as status, o_orderpriority as stage, o_totalprice as elapsed, c_nationkey as nation from {orders} join {customer} on o_custkey = c_custkey"
@@ -126,7 +132,7 @@ def g15_outcomes(spark, d):
     return videos.groupBy("nation").agg(F.count_if(F.col("status") == "O").alias("converted"), F.count_if(F.col("status") == "F").alias("skipped"), F.count_if(~F.col("status").isin("O", "F")).alias("failed"))
 
 
-QUERIES = {f.__name__: f for f in (g1_eye_aspect_ratio, g2_frontality, g3_sharpness, g4_lighting, g5_face_fill, g6_reference_score, g7_references, b10_passing_tags, g8_video_captions, g9_image_captions, b15_eyewear_rule, g10_rollup, g12_run_stats, g13_stage_shares, g14_progress, g15_outcomes)}
+QUERIES = {f.__name__: f for f in (g1_eye_aspect_ratio, g2_frontality, g3_sharpness, g4_lighting, g5_face_fill, g6_reference_score, g7_references, k10_selected_references, b10_passing_tags, g8_video_captions, g9_image_captions, b15_eyewear_rule, g10_rollup, g12_run_stats, g13_stage_shares, g14_progress, g15_outcomes)}
 
 _DIST = "sqrt(({a}.x - {b}.x) ** 2 + ({a}.y - {b}.y) ** 2)"
 
@@ -160,6 +166,7 @@ ORACLES = {
     "g5_face_fill": f"{_S} round(fill, 9) as fill from g",
     "g6_reference_score": f"{_S} score from g",
     "g7_references": f"{_L} select supp, count(*) as \"references\", max(score) as best from g where score >= 0.35 group by supp",
+    "k10_selected_references": f"{_L} select supp as person, 'lib/' || supp || '/' || video || '_' || n || '_' || part || '.jpg' as path, 'lib/' || supp || '/ref/' || video || '_' || n || '_' || part || '.jpg' as target from g where score >= 0.35",
     "b10_passing_tags": f"select video, frame_idx, tag_idx, prob from ({TG}) where prob >= 0.35 and category in (0, 9)",
     "g8_video_captions": f"""select video, 'subject, ' || string_agg(tag, ', ' order by m desc, tag desc) as caption from (select video, replace(name, '_', ' ') as tag, round(avg(prob), 12) as m from ({TG}) where prob >= 0.35 group by all) group by video""",
     "g9_image_captions": f"""select video, frame_idx, string_agg(replace(name, '_', ' '), ', ' order by prob desc, category = 9, tag_idx, replace(name, '_', ' ')) as caption from (select * replace (round(prob, 6) as prob) from ({TG})) where prob >= 0.35 group by all""",

@@ -48,18 +48,21 @@ def i6_after_reasoning(spark, d):
     return rows(spark, d, _THINK).select("conv_id", "turn", text.after_reasoning(F.col("t")).alias("answer"))
 
 
-_ERRORS = "select event_id, event_type, case when event_id % 3 = 0 then event_type else 'Code ' || (event_id % 7) end as m, case when event_id % 2 = 0 then 'Token count of IMAGE, truncation=''max_length''' end as body from {events}"
+_ERRORS = """select event_id, event_type, case when event_id % 3 = 0 then event_type when event_id % 11 = 4 then 'Failed to apply Qwen processor' else 'Code ' || (event_id % 7) end as m,
+ case when event_id % 2 = 0 then '{{"error": {{"code": 400, "message": "Token count of IMAGE, truncation=''max_length''", "also": ["' || event_type || '", null, "an image: ' || chr(92) || '"x' || chr(92) || '"", {{"deep": ["one", "two"]}}]}}}}' when event_id % 5 = 0 then 'plain "text": body' end as body from {events}"""
+
+
+def _flat(spark, d):
+    parts = F.concat(F.array("event_type", "m"), text.error_texts(F.col("body")))
+    return rows(spark, d, _ERRORS).select("event_id", text.flat_errors(parts).alias("message"))
 
 
 def i7_flat_errors(spark, d):
-    return rows(spark, d, _ERRORS).select("event_id", text.flat_errors(F.array("event_type", "m", "body")).alias("message"))
+    return _flat(spark, d)
 
 
 def i8_retries(spark, d):
-    message = text.flat_errors(F.array("event_type", "m", "body"))
-    has = message.contains
-    again = (has("token count") & (has("truncation='max_length'") | has('truncation="max_length"')) & (has("image") | has("video"))) | (has("failed to apply qwen") & has("processor") & has("image"))
-    return rows(spark, d, _ERRORS).select("event_id", again.alias("again"))
+    return _flat(spark, d).select("event_id", text.worth_retrying(F.col("message")).alias("again"))
 
 
 def i9_halvings(spark, d):
@@ -96,10 +99,16 @@ def i12_frame_ranges(spark, d):
     return timed.select("media", "ord", first.cast("long").alias("first_frame"), last.cast("long").alias("last_frame"), F.length(shown).cast("long").alias("length"))
 
 
+_TALKS = """select conv_id as media, 'v/' || conv_id || '.mp4' as path, cast(640 + conv_id % 3 as int) as width, cast(360 + conv_id % 2 as int) as height, cast(case when conv_id % 3 = 0 then 0 else 24 end as double) as fps, cast(case when conv_id % 4 = 0 then 0 else 200 + conv_id % 900 end as int) as num_frames,
+ cast(16 + conv_id % 900 as int) as nframes, cast(case when conv_id % 5 = 0 then 0 else 1000 + conv_id end as int) as total_pixels, cast(conv_id % 4 as double) / 2 as spf, case when conv_id % 6 <> 0 then 'Describe ' || conv_id else '' end as prompt, case conv_id % 3 when 0 then 'Be brief.' when 1 then '' end as system,
+ conv_id % 2 = 0 as more, case when conv_id % 5 < 3 then 'all that was said in ' || conv_id end as transcript, conv_id % 7 = 0 as video_only from (select distinct conv_id from {conversations})"""
+
+
 def i13_messages(spark, d):
-    """The parts of a chat message that are there, in order."""
-    parts = F.array(F.lit("video"), F.when(F.col("turn") % 2 == 0, F.lit("audio")), F.when(F.length("text") > 60, F.concat(F.lit("text:"), F.col("role"))))
-    return rows(spark, d, "select conv_id, turn, role, text from {conversations}").select("conv_id", "turn", F.array_join(F.filter(parts, lambda x: x.isNotNull()), "|").alias("parts"))
+    """The chat message about each video, its text parts in one string."""
+    told = rows(spark, d, TIMED).where("media % 8 <> 5").select("media", "ord", F.when(F.col("ord") % 5 != 2, F.round(F.col("start_s").cast("double"), 3)).alias("start_s"), F.round(F.col("end_s").cast("double"), 3).alias("end_s"), F.when(F.col("ord") % 4 != 3, F.col("text")).alias("text"))
+    got = reduce.messages(rows(spark, d, _TALKS), told)
+    return got.select("media", "system", "video", F.col("nframes").cast("long").alias("nframes"), F.col("total_pixels").cast("long").alias("total_pixels"), F.array_join("texts", "|").alias("texts"))
 
 
 def i14_segment_prompts(spark, d):
@@ -142,16 +151,12 @@ _STEMS = "select p_partkey as part, case p_size % 7 when 0 then 'UniFace_simswap
 
 
 def i19_model_family(spark, d):
-    stem, kind = F.lower("stem"), None
-    for name in ("uniface", "hyperswap", "blendswap", "simswap"):
-        kind = F.when(stem.contains(name), name) if kind is None else kind.when(stem.contains(name), name)
-    return rows(spark, d, _STEMS).select("part", kind.otherwise("inswapper").alias("family"))
+    return rows(spark, d, _STEMS).select("part", text.model_family(F.concat(F.lit("models/"), "stem", F.lit(".onnx"))).alias("family"))
 
 
 def i20_tensor_roles(spark, d):
     shape = F.when(F.col("size") % 5 == 0, F.array(F.lit(1), F.lit(512))).when(F.col("size") % 5 == 1, F.array(*map(F.lit, (1, 3, 128, 128)))).when(F.col("size") % 5 == 2, F.array(*map(F.lit, (1, 512, 1, 1)))).when(F.col("size") % 5 == 3, F.array(F.lit(7)))
-    role = F.when(F.size(shape) == 2, "embedding").when(F.size(shape) == 4, F.when(F.get(shape, F.lit(1)) == 3, "image").otherwise("embedding")).otherwise("unknown")
-    return rows(spark, d, _MODEL).select("part", role.alias("role"))
+    return rows(spark, d, _MODEL).select("part", text.tensor_role(shape).alias("role"))
 
 
 def i21_output_dirs(spark, d):
@@ -184,6 +189,20 @@ _I15 = """with t as (select conv_id as key, text, row_number() over (partition b
 w as (select key, (rn - 1) // 3 as ord, 'summary ' || md5(string_agg('--- Segment ' || rn || ' ---' || chr(10) || text, chr(10) || chr(10) order by rn)) as text, min(n) as n from t where n > 3 group by all union all select key, rn - 1, text, n from t where n <= 3),
 c as (select key, 'Summarise.' || chr(10) || chr(10) || string_agg('--- ' || case when n > 3 then 'Window ' else 'Segment ' end || (ord + 1) || ' ---' || chr(10) || text, chr(10) || chr(10) order by ord) as body from w group by key)"""
 
+# The strings of a payload: all that is quoted and not followed by a colon.
+_FLAT = f"""select event_id, lower(array_to_string(list_filter(list_transform(p, lambda x, i: case when x is not null and x <> '' and list_position(p, x) = i then x end), lambda x: x is not null), chr(10))) as message from
+ (select event_id, list_concat([event_type, m], case when body is null then [] when body like '{{%' then list_transform(list_filter(list_zip(regexp_extract_all(body, '"((?:[^"\\\\]|\\\\.)*)"(\\s*:)?', 1), regexp_extract_all(body, '"((?:[^"\\\\]|\\\\.)*)"(\\s*:)?', 2)), lambda z: coalesce(z[2], '') = ''), lambda z: ('"' || z[1] || '"')::json ->> '$') else [body] end) as p
+ from ({duck(_ERRORS).replace('{{', '{').replace('}}', '}')}))"""
+_I13 = f"""with v as ({duck(_TALKS)}), s as (select *, row_number() over (partition by media order by ord) as no from (select media, ord, case when ord % 5 <> 2 then round(start_s::double, 3) end as a, round(end_s::double, 3) as b, case when ord % 4 <> 3 then text end as text from ({duck(TIMED)}) where media % 8 <> 5)),
+f as (select s.*, num_frames, round_even(greatest(0.0, a) * (case when fps > 0 then fps else 30.0 end), 0)::int as f1, round_even(greatest(a, b) * (case when fps > 0 then fps else 30.0 end), 0)::int as f2 from s join v using (media) where a is not null and b is not null),
+g as (select *, case when num_frames > 0 then least(greatest(0, f1), num_frames - 1) else f1 end as g1 from f),
+h as (select *, case when num_frames > 0 then least(greatest(g1, f2), num_frames - 1) else f2 end as g2 from g),
+l as (select media, string_agg('Segment ' || no || ': ' || {_clock('a')} || ' – ' || {_clock('b')} || ' (frames ' || g1 || '–' || g2 || ')' || chr(10) || case when trim(coalesce(text, '')) = '' then '<no text>' else trim(text) end, chr(10) order by no) as lines from h group by media)
+select media, case when system <> '' then system end as system, path as video, case when not video_only then least(768, case when spf > 0 then greatest(1, case when spf * fps > 0 then trunc(num_frames / (spf * fps))::int else nframes end) else nframes end) end::bigint as nframes,
+ case when not video_only then case when total_pixels > 0 then total_pixels else width * height end end::bigint as total_pixels,
+ concat_ws('|', 'Here is an automatic transcription of the video''s audio track. Use it together with the visual frames to better understand the scene, dialogue, speakers, and any on-screen text they mention:' || chr(10) || chr(10) || transcript,
+ 'Timestamp-aligned audio segments with approximate frame ranges:' || chr(10) || lines, case when prompt <> '' then prompt end, case when more then 'Continue describing the video in more detail, focusing on any aspects you haven''t mentioned yet.' end) as texts from v left join l using (media)"""
+
 ORACLES = {
     "i1_clock": f"select doc_id, {_clock('s')} as clock from (select doc_id, round(s, 4) as s from ({_SEC}))",
     "i2_clock_short": f"select doc_id, {_short_clock('greatest(s, 0.0)')} as clock from ({_SEC})",
@@ -191,8 +210,9 @@ ORACLES = {
     "i4_patch_pixels": f"select part, case when size % 2 = 0 then 32 else 28 end::bigint as patch, (size * case when size % 2 = 0 then 1024 else 784 end)::bigint as pixels from ({_MO})",
     "i5_expand_grid": f"select part, unnest(range(size % 5 + 1)) as k, 1::bigint as t, size::bigint as h, size * 2::bigint as w from ({_MO})",
     "i6_after_reasoning": f"select conv_id, turn, case when instr(t, '</think>') > 0 then regexp_replace(substring(t, instr(t, '</think>') + 8), '^\\s+', '') else t end as answer from ({duck(_THINK)})",
-    "i7_flat_errors": f"select event_id, {_MSG} as message from ({_ER})",
-    "i8_retries": f"select event_id, contains({_MSG}, 'token count') and contains({_MSG}, 'truncation=''max_length''') and contains({_MSG}, 'image') as again from ({_ER})",
+    "i7_flat_errors": f"select event_id, message from ({_FLAT})",
+    "i8_retries": f"""select event_id, (contains(message, 'token count') and (contains(message, 'truncation=' || chr(39) || 'max_length' || chr(39)) or contains(message, 'truncation="max_length"')) and (contains(message, 'image') or contains(message, 'video')))
+ or (contains(message, 'failed to apply qwen') and contains(message, 'processor') and contains(message, 'image')) as again from ({_FLAT})""",
     "i9_halvings": f"select part, array_to_string(list_transform(range(floor(log2(size * 15))::bigint + 1), lambda k: (size * 15) // (2 ** k)::bigint), ',') as sizes from ({_MO})",
     "i10_transcript": f"{_I10} select * from p",
     "i10_raw_text": f"{_I10} select media, string_agg(text, ' ' order by unit, chunk) as raw from p group by media",
@@ -200,7 +220,7 @@ ORACLES = {
  from (select media, ord, start_s::double as s, round(end_s::double, 3) as e, text, row_number() over (partition by media order by ord) as rn from ({TM})) group by media""",
     "i12_frame_ranges": f"""select media, ord, a as first_frame, case when n > 0 then least(greatest(a, b), n - 1) else b end as last_frame, l as length from (select *, case when n > 0 then least(greatest(0, a0), n - 1) else a0 end as a from
  (select media, ord, round_even(greatest(0.0, round(start_s::double, 3)) * fps, 0)::bigint as a0, round_even(greatest(round(start_s::double, 3), round(end_s::double, 3)) * fps, 0)::bigint as b, case when media % 2 = 0 then 400 else 0 end as n, length(case when trim(text) = '' then '<no text>' else trim(text) end) as l from (select *, case when media % 3 = 0 then 30.0 else 24.0 end::double as fps from ({TM}))))""",
-    "i13_messages": "select conv_id, turn, concat_ws('|', 'video', case when turn % 2 = 0 then 'audio' end, case when length(text) > 60 then 'text:' || role end) as parts from conversations",
+    "i13_messages": _I13,
     "i14_segment_prompts": f"select media, ord, '[Video segment ' || (ord + 1) || ': ' || {_short_clock('start_s::double')} || '–' || {_short_clock('end_s::double')} || ']' as note from ({TM})",
     "i15_windows": f"{_I15} select key, ord, text from w",
     "i16_consolidated": f"{_I15} select * from c",

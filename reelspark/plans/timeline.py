@@ -20,11 +20,11 @@ def b2_first_multiples(spark, d):
     return segment.every_nth(rows(spark, d, FRAMES), 60, most=5).select("video", "frame_idx", "v")
 
 
-_RANGE = """select video, cast(num_frames % 50 as int) as s, cast(num_frames % 50 + video % 40 + 1 as int) as e, greatest(1.0, fps / (1 + num_frames % 7)) as step from ({v})"""
+_RANGE = """select video, num_frames, fps, cast(video % 50 as double) / 8 as s, case when video % 25 = 0 then 0.0 else cast(video % 50 as double) / 8 + cast(video % 61 as double) / 7 end as e, cast(num_frames % 8 as double) * 1.25 as rate from ({v})"""
 
 
 def b3_fps_resample(spark, d):
-    got = rows(spark, d, _RANGE.replace("{v}", VIDEOS)).withColumn("f", segment.resampled(F.col("s"), F.col("e"), F.col("step").cast("double")))
+    got = rows(spark, d, _RANGE.replace("{v}", VIDEOS)).withColumn("f", segment.resampled(*(F.col(c) for c in ("s", "e", "num_frames", "fps", "rate"))))
     return got.select("video", F.size("f").cast("long").alias("n"), F.array_min("f").alias("first"), F.array_max("f").alias("last"), F.aggregate("f", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
@@ -166,8 +166,10 @@ _POSITIONS = """case when k <= 0 or n <= 0 then [] when k >= n then range(n) whe
 ORACLES = {
     "b1_every_nth": f"select video, frame_idx, v from ({F_}) where frame_idx % 60 = 0",
     "b2_first_multiples": f"select video, frame_idx, v from ({F_}) where frame_idx % 60 = 0 and frame_idx < 300",
-    "b3_fps_resample": f"""select video, len(f) as n, list_min(f) as first, list_max(f) as last, coalesce(list_sum(f), 0)::bigint as total from
- (select video, list_filter(list_transform(range(greatest(0, ceil((e - s) / step))::bigint), lambda i: trunc(s + i * step)::int), lambda x: x < e) as f from (select video, s, e, step::double as step from ({_RANGE.replace('{v}', duck(VIDEOS))})))""",
+    "b3_fps_resample": f"""with recursive v as (select video, trunc(s * r)::int::double as s0, case when e > s then least(trunc(e * r)::int, num_frames) else num_frames end as e0, case when rate > 0 then greatest(1.0, r / rate) else r end as step
+ from (select *, case when fps > 0 then fps else 25.0 end as r from ({_RANGE.replace('{v}', duck(VIDEOS))}))),
+t as (select video, s0 as t, e0, step from v where s0 < e0 union all select video, t + step, e0, step from t where t + step < e0)
+select video, count(t) as n, min(trunc(t)::int) as first, max(trunc(t)::int) as last, coalesce(sum(trunc(t)::int), 0)::bigint as total from v left join t using (video) group by video""",
     "b4_effective_frames": f"""select video, least(768, case when spf > 0 then greatest(1, case when spf * fps > 0 then trunc(num_frames / (spf * fps)) else requested end) else requested end)::bigint as frames from ({_COUNT.replace('{v}', duck(VIDEOS))})""",
     "b5_even_choice": f"select video, n, k, len(p) as chosen, coalesce(list_sum(p), 0)::bigint as total, len(list_distinct(p)) as different from (select *, {_POSITIONS} as p from ({_CHOICE.replace('{v}', duck(VIDEOS))}))",
     "c1_anchor_segments": f"{_C1} select * from c1",

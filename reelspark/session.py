@@ -7,14 +7,16 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Unless the session says otherwise.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def ready(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package and make sure a checkpoint folder is set.
 
-    A folder named in ``spark.checkpoint.dir`` is left alone; only a session without one (a local
-    test) gets a temporary folder.
+    The folder is the one named in ``spark.checkpoint.dir``; only a local session without one (a
+    test) gets a temporary folder. Batches for Python are bounded in bytes, since texts can be long.
     """
     sc = spark.sparkContext
     known = [p for p in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
@@ -22,7 +24,11 @@ def ready(spark: SparkSession) -> SparkSession:
         sc.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *known])
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="reelspark-checkpoint-"))
+    if spark.conf.get(BATCH[0], None) is None:
+        spark.conf.set(*BATCH)
     return spark
 
 

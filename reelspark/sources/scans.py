@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+import re
+import uuid
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Suffixes of each kind of scan.
 VIDEO = ("mp4", "mov", "avi", "mkv", "webm", "m4v", "wmv")
 IMAGE = ("jpg", "jpeg", "png", "webp", "bmp", "tiff", "tif")
+# Suffixes that a folder is searched for when none are named, in this order.
+DEFAULT_INPUT = (".mp4", ".mov", ".mkv", ".avi", ".m4v", ".webm")
 
 
 def suffix(path: Column) -> Column:
@@ -41,10 +47,51 @@ def listed(lines: DataFrame) -> DataFrame:
     return lines.where((line != "") & ~line.startswith("#")).select(line.alias("path"), "row_ord")
 
 
-def tag_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """(idx, name, category) of a CSV with a header; a missing category is 0, the index is the line's place."""
-    rows = spark.read.csv(path, header=True).coalesce(1)
-    return rows.select(F.monotonically_increasing_id().alias("idx"), "name", F.coalesce(F.col("category").cast("int"), F.lit(0)).alias("category"))
+def absolute(path: Column, base: str) -> Column:
+    """The path from the root, without empty, ``.`` and ``..`` parts; a relative one starts at ``base``."""
+    whole = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), path))
+    parts = F.filter(F.split(whole, "/"), lambda x: ~x.isin("", "."))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda a, x: F.when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.array_append(a, x)))
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
+def inputs(files: DataFrame, base: str, folder: bool = True, patterns: Sequence[str] = (), suffixes: Sequence[str] = (), lists: DataFrame | None = None) -> DataFrame:
+    """(path, src_ord, row_ord): the files that are named, each once, by the first source that names it.
+
+    ``files`` (path) are the regular files there are. Sources in order: each glob pattern under
+    ``base``, then for a folder each suffix (as it is written; by default the usual ones), each sorted
+    by path, then the lines of list files (row_ord, line) in order.
+    """
+    known = files.select(absolute(F.col("path"), base).alias("path")).distinct()
+    found = []
+    for k, glob in enumerate(patterns):
+        regex = "".join(".*" if x == "**/" else "[^/]*" if x == "*" else "[^/]" if x == "?" else re.escape(x) for x in re.findall(r"\*\*/|.", glob))
+        found.append(known.where(F.col("path").rlike("^" + re.escape(base.rstrip("/") + "/") + regex + "$")).withColumns({"src_ord": F.lit(k), "row_ord": F.lit(None).cast("long")}))
+    for k, end in enumerate((suffixes or DEFAULT_INPUT) if folder else ()):
+        found.append(known.where(F.col("path").startswith(base.rstrip("/") + "/") & F.col("path").endswith(end)).withColumns({"src_ord": F.lit(len(patterns) + k), "row_ord": F.lit(None).cast("long")}))
+    if lists is not None:
+        named = listed(lists).select(absolute(F.col("path"), base).alias("path"), F.lit(1_000_000).alias("src_ord"), F.col("row_ord").cast("long").alias("row_ord"))
+        found.append(named.join(known, "path", "left_semi").select("path", "src_ord", "row_ord"))
+    rows = functools.reduce(DataFrame.unionByName, found)
+    return rows.groupBy("path").agg(F.min(F.struct("src_ord", "row_ord")).alias("_o")).select("path", "_o.src_ord", "_o.row_ord")
+
+
+def tag_dictionary(texts: DataFrame, column: str = "value") -> DataFrame:
+    """(other columns, idx, name, category) of the lines of CSV texts, each a whole file in one row: header first.
+
+    A missing category is 0; the index is the line's place, taken from the text itself.
+    """
+    lines = F.filter(F.split(column, r"\r?\n"), lambda x: F.trim(x) != "")
+    rest = [c for c in texts.columns if c != column]
+    rows = texts.select(*rest, F.split(lines[0], ",").alias("head"), F.posexplode(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))).alias("idx", "line"))
+    rows = rows.withColumn("cells", F.expr("from_csv(line, 'a string, b string, c string, d string', map('mode', 'PERMISSIVE'))"))
+    cell = lambda name: F.get(F.array("cells.a", "cells.b", "cells.c", "cells.d"), (F.array_position("head", name) - 1).cast("int"))
+    value = lambda name: F.when(F.array_position("head", name) > 0, cell(name))
+    return rows.select(*rest, F.col("idx").cast("long").alias("idx"), value("name").alias("name"), F.coalesce(value("category").cast("int"), F.lit(0)).alias("category"))
+
+
+def read_tag_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    return tag_dictionary(spark.read.text(path, wholetext=True))
 
 
 CONFIG = "struct<label:string,source_label:string,find:string,replace:string,reference_paths:array<string>,portrait_paths:array<string>,similarity_threshold:double>"
@@ -60,17 +107,37 @@ def characters(configs: DataFrame, column: str = "json") -> DataFrame:
     return rows.select(*[c for c in rows.columns if c != "c"], label.alias("source_label"), folder.alias("from_folders"), "c.find", "c.replace", "c.reference_paths", "c.portrait_paths", F.coalesce("c.similarity_threshold", F.lit(0.5)).alias("similarity_threshold"))
 
 
-def config_errors(input_video: Column, output_video: Column, characters_: Column, references: Column, portraits: Column, label: Column) -> Column:
-    """Messages of what is wrong with a run's configuration."""
-    checks = [
-        (input_video.isNull() | (input_video == ""), F.lit("input_video is required")),
-        (output_video.isNull() | (output_video == ""), F.lit("output_video is required")),
-        (characters_ == 0, F.lit("At least one character mapping is required")),
-        (characters_ > 3, F.lit("Maximum of 3 character replacements supported")),
-        ((characters_ > 0) & (references == 0), F.concat(F.lit("no reference images for "), label)),
-        ((characters_ > 0) & (portraits == 0), F.concat(F.lit("no portrait images for "), label)),
-    ]
-    return F.filter(F.array(*(F.when(bad, text) for bad, text in checks)), lambda x: x.isNotNull())
+def config_errors(runs: DataFrame, characters_: DataFrame, files: DataFrame) -> DataFrame:
+    """(run, errors): what is wrong with each run's configuration, in order of the checks; no row list is empty.
+
+    ``runs``: run, input_video, output_video. ``characters_``: run, ord, source_label,
+    reference_paths, portrait_paths. ``files``: the paths that exist. Paths are looked up by a join.
+    """
+    label = F.col("source_label")
+    # The messages.
+    no_references = F.concat(F.lit("Character '"), label, F.lit("' has no reference images (needed to identify the face in the video)"))
+    no_portraits = F.concat(F.lit("Character '"), label, F.lit("' has no portrait images (the replacement face)"))
+    kinds = (("reference_paths", no_references, "Reference image not found for '"), ("portrait_paths", no_portraits, "Portrait not found for '"))
+    there = files.select("path").distinct().withColumn("there", F.lit(True))
+    found = []
+    for k, (column, none, missing) in enumerate(kinds):
+        size = F.coalesce(F.size(column), F.lit(0))
+        found.append(characters_.where(size <= 0).select("run", F.lit(5).alias("check"), "ord", F.lit(2 * k).alias("part"), F.lit(0).alias("at"), none.alias("error")))
+        each = characters_.select("run", "ord", "source_label", F.posexplode(column).alias("at", "path")).join(there, "path", "left").where("there is null")
+        found.append(each.select("run", F.lit(5).alias("check"), "ord", F.lit(2 * k + 1).alias("part"), "at", F.concat(F.lit(missing), label, F.lit("': "), "path").alias("error")))
+    counts = characters_.groupBy("run").agg(F.count("*").alias("n"))
+    whole = runs.select("run", "input_video", "output_video").join(counts, "run", "left").join(there.withColumnRenamed("path", "input_video"), "input_video", "left")
+    n, video = F.coalesce("n", F.lit(0)), F.coalesce("input_video", F.lit(""))
+    checks = F.array(
+        F.when(video == "", "input_video is required").when(F.col("there").isNull(), F.concat(F.lit("input_video not found: "), video)),
+        F.when(F.coalesce("output_video", F.lit("")) == "", "output_video is required"),
+        F.when(n == 0, "At least one character mapping is required"),
+        F.when(n > 3, "Maximum of 3 character replacements supported"),
+    )
+    none = F.lit(0)
+    found.append(whole.select("run", F.posexplode(checks).alias("check", "error")).where("error is not null").select("run", "check", none.alias("ord"), none.alias("part"), none.alias("at"), "error"))
+    errors = functools.reduce(DataFrame.unionByName, found).groupBy("run").agg(F.array_sort(F.collect_list(F.struct("check", "ord", "part", "at", "error"))).alias("e"))
+    return runs.select("run").join(errors, "run", "left").select("run", F.coalesce(F.transform("e", lambda x: x["error"]), F.array().cast("array<string>")).alias("errors"))
 
 
 def command_line(options: Column) -> Column:
@@ -85,7 +152,36 @@ def command_line(options: Column) -> Column:
     return F.flatten(F.transform(F.array_sort(F.map_entries(options)), one))
 
 
-def write_sidecars(texts: DataFrame, folder: str, partitions: Sequence[str] = ()) -> None:
-    """(stem, text) rows as Parquet files, by partition columns if any."""
-    writer = texts.write.mode("overwrite")
-    (writer.partitionBy(*partitions) if partitions else writer).parquet(folder)
+def sidecar_path(path: Column, suffix_: str = ".txt") -> Column:
+    """The path of the text beside a file: its last suffix is replaced."""
+    return F.concat(F.regexp_replace(path, r"(?<=[^/])\.[^./]+$", ""), F.lit(suffix_))
+
+
+def write_sidecars(texts: DataFrame, overwrite: bool = True) -> DataFrame:
+    """Write each (path, text) row's text to the file at its path, through the file system of the path; returns (path, status).
+
+    Tasks write their own rows, so nothing is gathered; a file that is there stays unless ``overwrite``.
+    A text is written to a name of its attempt first and then renamed, so a task that is run again
+    leaves whole files. Paths with a scheme go through Arrow's file systems.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        local = re.compile("^file:/*")
+
+        for batch in batches:
+            status = []
+            for path, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                store, at = fs.FileSystem.from_uri(local.sub("file:///", path) if ":" in path.split("/")[0] else "file://" + path)
+                if not overwrite and store.get_file_info(at).type != fs.FileType.NotFound:
+                    status.append("skipped_existing")
+                    continue
+                store.create_dir(at.rpartition("/")[0], recursive=True)
+                part = f"{at}.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write((text or "").encode())
+                store.move(part, at)
+                status.append("created")
+            yield pa.RecordBatch.from_pydict({"path": batch.column(0), "status": pa.array(status, pa.string())})
+
+    return texts.select("path", "text").mapInArrow(run, "path string, status string")

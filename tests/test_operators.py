@@ -232,11 +232,86 @@ def test_file_scan_and_dictionary(spark, tmp_path):
         (tmp_path / name).write_bytes(b"1")
     assert sorted(r.path.rsplit("/", 1)[1] for r in scans.scan(spark, str(tmp_path), scans.VIDEO).collect()) == ["x.MP4", "y.mov"]
     (tmp_path / "tags.csv").write_text("name,category\nlong_hair,0\ngeneral,9\nnone,\n")
-    assert [tuple(r) for r in scans.tag_dictionary(spark, str(tmp_path / "tags.csv")).orderBy("idx").collect()] == [(0, "long_hair", 0), (1, "general", 9), (2, "none", 0)]
+    assert [tuple(r) for r in scans.read_tag_dictionary(spark, str(tmp_path / "tags.csv")).orderBy("idx").collect()] == [(0, "long_hair", 0), (1, "general", 9), (2, "none", 0)]
     with pytest.raises(ValueError):
         scans.flat_scan(spark.createDataFrame([("a.txt",)], "path string"))
-    scans.write_sidecars(spark.createDataFrame([("s", "t", "p")], "stem string, text string, person string"), str(tmp_path / "out"), ["person"])
-    assert spark.read.parquet(str(tmp_path / "out")).first().person == "p"
+    texts = spark.createDataFrame([(str(tmp_path / "out/s.txt"), "t é\n"), (str(tmp_path / "out/n.txt"), None)], "path string, text string")
+    assert {r.status for r in scans.write_sidecars(texts).collect()} == {"created"}
+    assert (tmp_path / "out/s.txt").read_text() == "t é\n" and sorted(x.name for x in (tmp_path / "out").iterdir()) == ["n.txt", "s.txt"]
+    changed = texts.withColumn("text", F.lit("new"))
+    assert {r.status for r in scans.write_sidecars(changed, overwrite=False).collect()} == {"skipped_existing"}
+    assert (tmp_path / "out/s.txt").read_text() == "t é\n"
+
+
+def test_sidecar_paths(spark):
+    df = spark.createDataFrame([("a/b.tar.gz",), ("a.d/b",), (".hidden",), ("x/.hidden",), ("v.mp4",)], "p string")
+    assert [r[0] for r in df.select(scans.sidecar_path(F.col("p"))).collect()] == ["a/b.tar.txt", "a.d/b.txt", ".hidden.txt", "x/.hidden.txt", "v.txt"]
+
+
+def test_inputs(spark):
+    files = spark.createDataFrame([(x,) for x in ("/d/b.mp4", "/d/a.mp4", "/d/s/c.mov", "/d/s/e.wmv", "/e/f.mkv", "g.txt", "/d/UP.MP4")], "path string")
+    lists = spark.createDataFrame([(1, "# no"), (2, " g.txt "), (3, "/d/../e/./f.mkv"), (4, "/gone.mp4"), (5, "a.mp4"), (6, "")], "row_ord long, line string")
+    got = scans.inputs(files, "/d", patterns=["*/c.m?v"], lists=lists).orderBy("src_ord", "row_ord", "path").collect()
+    assert [(r.path, r.src_ord) for r in got] == [("/d/s/c.mov", 0), ("/d/a.mp4", 1), ("/d/b.mp4", 1), ("/d/g.txt", 1_000_000), ("/e/f.mkv", 1_000_000)]
+    assert [r.path for r in scans.inputs(files, "/d", suffixes=[".wmv"]).collect()] == ["/d/s/e.wmv"]
+
+
+def test_config_errors(spark):
+    runs = spark.createDataFrame([(1, "v.mp4", "o.mp4"), (2, "", None), (3, "gone.mp4", "o")], "run long, input_video string, output_video string")
+    people = spark.createDataFrame([(1, 0, "a", ["r1", "no"], []), (3, 0, "b", None, ["p1"])], "run long, ord int, source_label string, reference_paths array<string>, portrait_paths array<string>")
+    got = {r.run: r.errors for r in scans.config_errors(runs, people, spark.createDataFrame([("v.mp4",), ("r1",), ("p1",)], "path string")).collect()}
+    assert got[1] == ["Reference image not found for 'a': no", "Character 'a' has no portrait images (the replacement face)"]
+    assert got[2] == ["input_video is required", "output_video is required", "At least one character mapping is required"]
+    assert got[3] == ["input_video not found: gone.mp4", "Character 'b' has no reference images (needed to identify the face in the video)"]
+
+
+def test_resampled_sums_step_by_step(spark):
+    cases = [(0.0, 375.0, 9000, 24.0, 10.0), (0.0, 0.0, 9000, 25.0, 7.0), (1.3, 2.9, 9000, 0.0, 3.0), (2.0, 1.0, 100, 30.0, 0.0), (0.0, 5.0, 50, 30.0, 60.0), (9.0, 10.0, 5, 30.0, 1.0)]
+    def plain(start, end, total, rate, fps):
+        rate = rate if rate > 0 else 25.0
+        stop = min(int(end * rate), total) if end > start else total
+        t, out = float(int(start * rate)), []
+        while t < stop:
+            out.append(int(t))
+            t += max(1.0, rate / fps) if fps > 0 else rate
+        return out
+    df = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "k int, s double, e double, n int, rate double, fps double")
+    got = df.select("k", segment.resampled(*(F.col(c) for c in ("s", "e", "n", "rate", "fps"))).alias("f")).orderBy("k").collect()
+    assert [r.f for r in got] == [plain(*c) for c in cases]
+
+
+def test_large_gallery_without_nested_loop(spark):
+    rng = np.random.default_rng(1)
+    names = spark.createDataFrame([(f"l{k}", rng.normal(size=4).tolist(), None, k) for k in range(50)], "label string, enc array<double>, threshold double, ord int")
+    tracks = spark.createDataFrame([(k, rng.normal(size=4).tolist()) for k in range(40)], "track_id int, enc array<double>")
+    large = cluster.gallery_match(tracks, names, 0.2, most_gallery=10, block=7)
+    plan = large._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    small = cluster.gallery_match(tracks, names, 0.2)
+    assert sorted(map(str, large.collect())) == sorted(map(str, small.collect()))
+
+
+def test_error_texts(spark):
+    bodies = ['{"a": "x", "b": {"c": ["y", 1, null, "z\\n\\"q\\""], "d": "a: b"}}', "plain", None, "[]", '["k", {"v": "w"}]']
+    df = spark.createDataFrame([(b,) for b in bodies], "b string")
+    assert [r[0] for r in df.select(text.error_texts(F.col("b"))).collect()] == [["x", "y", 'z\n"q"', "a: b"], ["plain"], [], [], ["k", "w"]]
+
+
+def test_messages(spark):
+    videos = spark.createDataFrame([(1, "v.mp4", 10, 20, 24.0, 100, 5, 0, 0.5, "p", "s", True, "heard", False), (2, "w.mp4", 10, 20, 0.0, 0, 900, 7, 0.0, "", "", False, None, False), (3, "x.mp4", 1, 1, 1.0, 1, 1, 1, 0.0, None, None, False, None, True)], "media long, path string, width int, height int, fps double, num_frames int, nframes int, total_pixels int, spf double, prompt string, system string, more boolean, transcript string, video_only boolean")
+    told = spark.createDataFrame([(1, 0, 0.0, 1.0, " a "), (1, 1, None, 2.0, "b"), (1, 2, 3.0, 9.0, "")], "media long, ord int, start_s double, end_s double, text string")
+    got = {r.media: r for r in reduce.messages(videos, told).collect()}
+    assert (got[1].nframes, got[1].total_pixels, got[1].system) == (8, 200, "s") and (got[2].nframes, got[2].total_pixels, got[2].system, got[2].texts) == (768, 7, None, [])
+    assert (got[3].nframes, got[3].total_pixels) == (None, None)
+    assert got[1].texts[1].split("\n")[1:] == ["Segment 1: 0:00:00.000 – 0:00:01.000 (frames 0–24)", "a", "Segment 3: 0:00:03.000 – 0:00:09.000 (frames 72–99)", "<no text>"]
+    assert got[1].texts[2] == "p" and got[1].texts[3].startswith("Continue") and got[1].texts[0].endswith("\n\nheard")
+
+
+def test_encodings_of_boxes(spark):
+    faces = spark.createDataFrame([(1, 0, [0.9, 0.0, 10.0, 10.0], [1.0]), (1, 1, [0.0, 0.0, 10.0, 10.0], [2.0]), (2, 0, [0.0, 0.0, 10.0, 10.0], None)], "image long, f_ord int, box array<double>, enc array<double>")
+    boxes = spark.createDataFrame([(1, 0, 0, 10, 10, 0), (1, 1, 50, 60, 60, 50), (2, 0, 0, 10, 10, 0), (3, 0, 0, 1, 1, 0)], "image long, q_ord int, top int, right int, bottom int, left int")
+    got = {(r.image, r.q_ord): r.enc for r in cluster.encodings_of_boxes(boxes, faces, ["image"], 1).collect()}
+    assert got == {(1, 0): [1.0], (1, 1): [0.0], (2, 0): [0.0]}
 
 
 def test_streams_equal_batches(spark, tmp_path):
