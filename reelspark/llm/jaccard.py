@@ -169,7 +169,9 @@ def _sets_of(width: int, bits: np.ndarray):
     """The sets, by digest, of the documents that may be wanted; a set of a task once, or again after very many others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        from pyspark import TaskContext
+
+        seen, task = set(), TaskContext.get().partitionId()
         for batch in batches:
             at = _places(batch.column(0))
             batch = batch.filter(pa.array((bits[at >> 6] >> (at & 63)) & 1 == 1))
@@ -183,7 +185,7 @@ def _sets_of(width: int, bits: np.ndarray):
                         seen.add(a)
                         names.append(a)
                         sets.append(tokens.tobytes())
-                yield pa.RecordBatch.from_pydict({"a": pa.array(kernels.as_long(np.array(names, np.uint64)), pa.int64()), "tokens": pa.array(sets, pa.binary())})
+                yield pa.RecordBatch.from_pydict({"a": pa.array(kernels.as_long(np.array(names, np.uint64)), pa.int64()), "task": pa.array([task] * len(sets), pa.int32()), "tokens": pa.array(sets, pa.binary())})
 
     return run
 
@@ -317,7 +319,9 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
 
     wanted = index.select("a").distinct().join(classes, "a").select("doc_id")
     bits = summed(wanted, _mark, BITS // 64, np.bitwise_or)
-    sets = shelf.keep(docs.where("doc_id is not null").mapInArrow(_sets_of(width, bits), "a long, tokens binary").join(index.select("a").distinct(), "a", "left_semi").dropDuplicates(["a"]))
+    raw = shelf.keep(docs.where("doc_id is not null").mapInArrow(_sets_of(width, bits), "a long, task int, tokens binary"))
+    again = raw.groupBy("a").agg(F.min("task").alias("one"), F.count("*").alias("times")).where("times > 1").select("a", "one")
+    sets = raw.join(small_side(again, BROADCAST_PAIRS), "a", "left").where("one is null or one = task").select("a", "tokens")
 
     def against(pairs: DataFrame) -> DataFrame:
         """AGAINST of pairs (u, v, far): the set of u goes to v's, of which there is a copy for each ``PER_HUB`` of its pairs."""
