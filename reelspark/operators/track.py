@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reelspark.operators.fold import Fold, ordered_fold
+from reelspark.operators.fold import Fold, ordered_fold, run_fold
 
 
 def overlap(a: list[float], b: list[float]) -> float:
@@ -114,74 +115,71 @@ def stale(tracks: DataFrame, now: int, max_age: int, key: str = "video") -> Data
 WEIGHTS = np.array([0.45, 0.45, 0.55, 0.65, 0.65])[:, None]
 
 
-def damped_points(before: np.ndarray, now: np.ndarray, box: list[float]) -> np.ndarray:
-    """The next smoothed points: first the size of the eye-nose triangle is held, then each point's step."""
-    def anchor(p: np.ndarray) -> tuple[np.ndarray, float]:
-        middle = ((p[0] + p[1]) / 2 + p[2]) / 2
-        return middle, float(np.sqrt(((p[:3] - middle) ** 2).sum(1).mean()))
+def damped_points(before: np.ndarray, now: np.ndarray, box: np.ndarray) -> np.ndarray:
+    """The next smoothed points: first the size of the eye-nose triangle is held, then each point's step.
 
+    Points are (..., 5, 2) and boxes (..., 4).
+    """
+    def anchor(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        middle = (((p[..., 0, :] + p[..., 1, :]) / 2 + p[..., 2, :]) / 2)[..., None, :]
+        return middle, np.sqrt(((p[..., :3, :] - middle) ** 2).sum(-1).mean(-1))
+
+    box = np.asarray(box, np.float64)
     (_, old), (centre, size) = anchor(before), anchor(now)
-    face = max(box[2] - box[0], box[3] - box[1], 2.5 * float(np.linalg.norm(now[1] - now[0])), 1.0)
-    if min(old, size) > 1e-6:
-        reach = min(max(3.0 / face, 0.010), 0.028)
-        held = min(max(size, old * (1 - reach)), old * (1 + reach))
-        now = centre + (now - centre) * ((old + 0.35 * (held - old)) / size)
-    step = now - before
-    length = np.linalg.norm(step, axis=1, keepdims=True)
-    step *= np.minimum(1.0, max(1.5, 0.08 * face) / np.maximum(length, 1e-6))
+    eyes = np.linalg.norm(now[..., 1, :] - now[..., 0, :], axis=-1)
+    face = np.maximum(np.maximum(box[..., 2] - box[..., 0], box[..., 3] - box[..., 1]), np.maximum(2.5 * eyes, 1.0))
+    reach = np.minimum(np.maximum(3.0 / face, 0.010), 0.028)
+    held = np.minimum(np.maximum(size, old * (1 - reach)), old * (1 + reach))
+    sized = np.minimum(old, size) > 1e-6
+    scale = np.where(sized, (old + 0.35 * (held - old)) / np.where(sized, size, 1.0), 1.0)[..., None, None]
+    step = np.where(sized[..., None, None], centre + (now - centre) * scale, now) - before
+    length = np.linalg.norm(step, axis=-1, keepdims=True)
+    step = step * np.minimum(1.0, np.maximum(1.5, 0.08 * face)[..., None, None] / np.maximum(length, 1e-6))
     return before + step * WEIGHTS
 
 
-class _Damped(Fold):
-    def __init__(self, carry: tuple[str, ...]):
-        self.carry, self.at, self.points = carry, None, None
-
-    def step(self, row: dict) -> list[dict]:
-        now = np.asarray(row["points"], np.float64)
-        follows = self.at is not None and row["frame_idx"] - self.at == 1
-        self.points = damped_points(self.points, now, row["box"]) if follows else now
-        self.at = row["frame_idx"]
-        return [{k: row[k] for k in self.carry} | {"frame_idx": row["frame_idx"], "points": self.points.tolist()}]
+def _boxes(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("box").flatten().to_numpy(zero_copy_only=False).reshape(-1, 4)
 
 
 def damped_landmarks(tracks: DataFrame, keys: tuple[str, ...] = ("video", "track_id")) -> DataFrame:
     """(keys, frame_idx, points): five-point landmarks damped along each track; a gap starts anew."""
+    def out(x: np.ndarray) -> pa.Array:
+        pairs = pa.ListArray.from_arrays(np.arange(0, x.size + 1, 2, dtype=np.int32), pa.array(x.ravel()))
+        return pa.ListArray.from_arrays(np.arange(0, x.size // 2 + 1, 5, dtype=np.int32), pairs)
+
     kinds = ", ".join(f"{k} {tracks.schema[k].dataType.simpleString()}" for k in keys)
     rows = tracks.where("points is not null").select(*keys, F.col("frame_idx").cast("int").alias("frame_idx"), F.col("box").cast("array<double>").alias("box"), F.col("points").cast("array<array<double>>").alias("points"))
-    return ordered_fold(rows, list(keys), ["frame_idx"], lambda: _Damped(keys), f"{kinds}, frame_idx int, points array<array<double>>")
-
+    points = lambda b: b.column("points").flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, 5, 2)
+    got = run_fold(rows, keys, "frame_idx", points, lambda old, now, b: damped_points(old, now, _boxes(b)), out, f"{kinds}, frame_idx int, value array<array<double>>")
+    return got.withColumnRenamed("value", "points")
 
-def clipped(box: np.ndarray, width: int, height: int) -> list[int]:
-    out = []
-    for low, high, size in ((box[0], box[2], width), (box[1], box[3], height)):
-        low = min(max(float(low), 0.0), max(size - 2, 0))
-        out.append((int(np.floor(low)), int(np.ceil(min(max(float(high), low + 2), size)))))
-    return [out[0][0], out[1][0], out[0][1], out[1][1]]
 
+def clipped(box: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Boxes (..., 4) inside the frame, at least two pixels wide and high, rounded outward."""
+    size = np.array([width, height], np.float64)
+    low = np.minimum(np.maximum(box[..., :2], 0.0), np.maximum(size - 2, 0))
+    high = np.minimum(np.maximum(box[..., 2:], low + 2), size)
+    return np.concatenate([np.floor(low), np.ceil(high)], -1)
 
-class _Steady(Fold):
-    def __init__(self, carry: tuple[str, ...], width: int, height: int):
-        self.carry, self.width, self.height, self.at, self.box = carry, width, height, None, None
 
-    def step(self, row: dict) -> list[dict]:
-        now = np.asarray(row["box"], np.float64)
-        if self.at is not None and row["frame_idx"] - self.at == 1:
-            old = self.box
-            size, new_size = old[2:] - old[:2], now[2:] - now[:2]
-            reach = np.maximum(0.08 * size, 2.0)
-            centre = (old[:2] + old[2:]) / 2
-            centre = centre + np.clip((now[:2] + now[2:]) / 2 - centre, -reach, reach)
-            half = (0.65 * size + 0.35 * new_size) / 2
-            now = np.asarray(clipped(np.concatenate([centre - half, centre + half]), self.width, self.height), np.float64)
-        self.at, self.box = row["frame_idx"], now
-        return [{k: row[k] for k in self.carry} | {"frame_idx": row["frame_idx"], "box": [int(x) for x in now]}]
+def steady_box(before: np.ndarray, now: np.ndarray, width: int, height: int) -> np.ndarray:
+    """The next steady box: the centre moves by a bounded step, the size follows slowly."""
+    size, new_size = before[..., 2:] - before[..., :2], now[..., 2:] - now[..., :2]
+    reach = np.maximum(0.08 * size, 2.0)
+    centre = (before[..., :2] + before[..., 2:]) / 2
+    centre = centre + np.clip((now[..., :2] + now[..., 2:]) / 2 - centre, -reach, reach)
+    half = (0.65 * size + 0.35 * new_size) / 2
+    return clipped(np.concatenate([centre - half, centre + half], -1), width, height)
 
 
 def steady_boxes(tracks: DataFrame, width: int, height: int, keys: tuple[str, ...] = ("video", "track_id")) -> DataFrame:
     """(keys, frame_idx, box): boxes whose centre moves little and whose size follows slowly; a gap starts anew."""
     kinds = ", ".join(f"{k} {tracks.schema[k].dataType.simpleString()}" for k in keys)
     rows = tracks.select(*keys, F.col("frame_idx").cast("int").alias("frame_idx"), F.col("box").cast("array<double>").alias("box"))
-    return ordered_fold(rows, list(keys), ["frame_idx"], lambda: _Steady(keys, width, height), f"{kinds}, frame_idx int, box array<int>")
+    out = lambda x: pa.ListArray.from_arrays(np.arange(0, x.size + 1, 4, dtype=np.int32), pa.array(x.ravel().astype(np.int32)))
+    got = run_fold(rows, keys, "frame_idx", _boxes, lambda old, now, b: steady_box(old, now, width, height), out, f"{kinds}, frame_idx int, value array<int>")
+    return got.withColumnRenamed("value", "box")
 
 
 def overlap_gate(tracks: DataFrame, least: float = 0.35, keys: tuple[str, ...] = ("video", "track_id")) -> DataFrame:

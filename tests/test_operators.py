@@ -291,6 +291,33 @@ def test_large_gallery_without_nested_loop(spark):
     assert sorted(map(str, large.collect())) == sorted(map(str, small.collect()))
 
 
+def test_smoothing_equals_a_plain_loop(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for video in range(3):
+        for track_id in range(4):
+            frames = np.cumsum(rng.integers(1, 3, 30)) if track_id else np.arange(30)
+            for f in frames:
+                x, y = rng.uniform(0, 100, 2).tolist()
+                rows.append((video if video < 2 else None, track_id, int(f), [x, y, x + 60 + rng.uniform(0, 9), y + 70], (rng.uniform(0, 9, (5, 2)) + [[10, 10], [40, 10], [25, 30], [12, 50], [38, 50]]).tolist()))
+    df = spark.createDataFrame(rows, "video long, track_id int, frame_idx int, box array<double>, points array<array<double>>")
+    points, boxes, before = {}, {}, None
+    for video, track_id, f, box, p in sorted((r for r in rows if r[0] is not None), key=lambda r: r[:3]):
+        p, box, key = np.array(p), np.array(box), (video, track_id, f)
+        follows = before == (video, track_id, f - 1)
+        points[key] = track.damped_points(points[before], p, box) if follows else p
+        boxes[key] = track.steady_box(boxes[before], box, 120, 140) if follows else box
+        before = key
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(r.video, r.track_id, r.frame_idx): r.points for r in track.damped_landmarks(df).collect() if r.video is not None}
+        steady = {(r.video, r.track_id, r.frame_idx): r.box for r in track.steady_boxes(df, 120, 140).collect() if r.video is not None}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got.keys() == points.keys() and all(np.allclose(got[k], points[k]) for k in got)
+    assert steady == {k: [int(x) for x in v] for k, v in boxes.items()}
+
+
 def test_error_texts(spark):
     bodies = ['{"a": "x", "b": {"c": ["y", 1, null, "z\\n\\"q\\""], "d": "a: b"}}', "plain", None, "[]", '["k", {"v": "w"}]']
     df = spark.createDataFrame([(b,) for b in bodies], "b string")
