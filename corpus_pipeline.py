@@ -1,19 +1,18 @@
 """A training corpus from ``documents``: quality, line dedup, near-duplicates, source mix, packing.
 
 Each stage reads what the one before it wrote. All but the last return the columns of ``documents``.
+No stage collects rows; empty tables give empty results, and other columns are dropped.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelspark.llm import jaccard, lines, mixing, packing, quality
 from reelspark.llm.queries import tokenizer_path
-from reelspark.llm.shared import small_side
-from reelspark.session import cut, ready, table
+from reelspark.llm.shared import Shelf, small_side
+from reelspark.session import cut, table
 
 #: Names of rows or groups that may be broadcast: 8 or 16 bytes each.
 BROADCAST_IDS = 500_000
@@ -21,13 +20,19 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject.
+
+    Repeated rows go or stay together; an empty or null text has the score of the zero vector.
+    """
     scored = quality.quality(docs, table(spark, sf_dir, "labels"), keep=list(COLUMNS))
     return scored.where("predicted = 1").select(*COLUMNS)
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines whose templates recur; one that has no words left goes."""
+    """Documents without the lines whose templates recur; one that has no words left goes.
+
+    Rows of equal id and text lose the same lines; texts without words, null ones too, stay as they are.
+    """
     cleaned = lines.dedup_lines(docs.select(*COLUMNS))
     has_words = F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return cleaned.where((F.col("n_dropped") == 0) | has_words).withColumn("n_chars", F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
@@ -53,12 +58,16 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the source mix takes them."""
+    """Documents as often as the source mix takes them.
+
+    Rows of equal id, source and size are taken equally often; texts without words are drawn like the
+    others of their source; a null source is one of its own.
+    """
     return mixing.sampled(docs.select(*COLUMNS))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of the documents in sequences."""
+    """Token pieces of the documents in sequences; a repeated row is packed as often as it occurs."""
     return packing.pack(docs, tokenizer_path())
 
 
@@ -70,12 +79,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``; each result but the last is written to the shared folder and read again."""
-    ready(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4()}"
-    docs = table(spark, sf_dir, "documents")
+    shelf, docs, before = Shelf(spark), table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{k}")
-            docs = spark.read.parquet(f"{folder}/{k}")
+            docs = shelf.keep(docs)
+            if before is not None:
+                shelf.drop(before)
+            before = docs
     return docs
