@@ -8,7 +8,8 @@ most two open units, which fly again with those of other chunks, until a source'
 into one chunk. The two units of a source that are then left are landed on the choice whose words
 come nearest.
 
-A hot source is many chunks, and no text is moved: the units are (id, source, size) rows.
+A hot source is many chunks, and no text is moved: the units are (id, source, size) rows. The table of
+sources stays distributed too: the driver has sums over it.
 
 Defined results: null or empty texts have size 0 and take nothing; a null source is a source of its
 own, the last one; rows with equal id, source and size are one unit and are taken equally often; a
@@ -17,7 +18,6 @@ source without words has target 0; other columns are ignored. The choice depends
 
 from __future__ import annotations
 
-import math
 import random
 import zlib
 from collections.abc import Iterator, Sequence
@@ -25,33 +25,49 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from reelspark.llm.shared import free, small_side
 from reelspark.session import cut, ready
 
 WEIGHTS = (5, 2, 1)
 LIMIT = 3
 CHUNK = 2048
+#: Sources whose rows may be broadcast: about 100 bytes each.
+BROADCAST_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 UNITS = "doc_id long, missing boolean, source string, size long, rows long, whole long, p double"
 
 
-def targets(sizes: dict[str | None, int], weights: Sequence[int] = WEIGHTS, limit: int = LIMIT) -> dict[str | None, float]:
-    """Words to take of each source: shares by weight, at most ``limit`` times its size, the excess shared again."""
-    names = sorted(sizes, key=lambda x: (x is None, x or ""))
-    weight = {x: weights[k % len(weights)] for k, x in enumerate(names)}
-    out: dict[str | None, float] = {}
-    free, left = names, float(sum(sizes.values()))
-    while free:
-        total = sum(weight[x] for x in free)
-        share = {x: left * weight[x] / total for x in free}
-        over = [x for x in free if share[x] > limit * sizes[x]]
-        if not over:
-            return out | share
-        out |= {x: float(limit * sizes[x]) for x in over}
-        left -= sum(out[x] for x in over)
-        free = [x for x in free if x not in out]
-    return out
+def _ranked(sources: DataFrame) -> DataFrame:
+    """Adds rank, from 0: places in order of source by code point, null last. Only a count for each partition comes to the driver."""
+    order = [F.col("source").isNull(), F.col("source")]
+    placed = cut(sources.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()))
+    part = F.shiftright("place", 33)
+    before, total = [], 0
+    for r in placed.groupBy(part.alias("part")).count().orderBy("part").collect():
+        before.append((r["part"], total))
+        total += r["count"]
+    before = sources.sparkSession.createDataFrame(before, "part long, before long")
+    return placed.join(F.broadcast(before), part == F.col("part")).withColumn("rank", F.col("before") + F.col("place").bitwiseAND((1 << 33) - 1)).drop("place", "part", "before")
+
+
+def targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, limit: int = LIMIT) -> DataFrame:
+    """Adds target to (source, words): shares by weight, at most ``limit`` times a source's words, the excess shared again.
+
+    Sources stay where they are; each turn sums up what is over its limit, until no more are.
+    """
+    weight = F.get(F.array(*(F.lit(float(w)) for w in weights)), F.pmod(F.col("rank"), F.lit(len(weights))).cast("int"))
+    known = cut(_ranked(sources).withColumn("weight", weight).withColumn("most", (limit * F.col("words")).cast("double")))
+    total, free = known.agg(F.sum(F.col("words").cast("double")), F.sum("weight")).first()
+    left, over = total or 0.0, 0
+    while True:
+        share = F.col("weight") * F.lit(left) / F.lit(free or 1.0)
+        n, taken, rest = known.where(share > F.col("most")).agg(F.count("*"), F.sum("most"), F.sum("weight")).first()
+        if n == over:
+            return known.withColumn("target", F.when(share > F.col("most"), F.col("most")).otherwise(share)).drop("rank", "weight", "most")
+        over, left, free = n, total - taken, known.agg(F.sum("weight")).first()[0] - rest
+        if free < 0.5:  # all are at their limit
+            return known.withColumn("target", F.col("most")).drop("rank", "weight", "most")
 
 
 def flight(size: Sequence[float], rows: Sequence[float], p: list[float], rng: random.Random) -> list[int]:
@@ -106,41 +122,38 @@ def _flown(last: bool):
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chunk: int = CHUNK) -> DataFrame:
     """(doc_id, source, size, rows, copies, source_size, target) of each unit: rows of equal id, source and size."""
-    spark = ready(docs.sparkSession)
+    ready(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size_of(text_col).alias("size"))
     units = cut(slim.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")))
-    totals = {r["source"]: (r["words"], r["units"]) for r in units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("words"), F.count("*").alias("units")).collect()}
-    target = targets({k: v[0] for k, v in totals.items()}, weights, limit)
-    plan = []
-    for k, (words, n) in totals.items():
-        ratio = target[k] / words if words else 0.0
-        whole = min(limit, math.floor(ratio + 1e-12))
-        plan.append((k, words, float(target[k]), whole, max(0.0, ratio - whole) if whole < limit else 0.0, n))
-    schema = T.StructType([T.StructField(*x) for x in (("s", T.StringType()), ("source_size", T.LongType()), ("target", T.DoubleType()), ("whole", T.LongType()), ("p", T.DoubleType()), ("n", T.LongType()))])
-    plan_df = spark.createDataFrame(plan, schema)
-    units = units.join(plan_df, F.col("source").eqNullSafe(F.col("s"))).select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("missing"), "source", "size", "rows", "whole", F.when(F.col("p") < 1e-12, 0.0).otherwise(F.col("p")).alias("p"))
+    sources = units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("words"), F.count("*").alias("units"))
+    ratio = F.when(F.col("words") > 0, F.col("target") / F.col("words")).otherwise(0.0)
+    whole = F.least(F.lit(limit).cast("long"), F.floor(ratio + 1e-12))
+    p = F.when(whole < limit, F.greatest(F.lit(0.0), ratio - whole)).otherwise(0.0)
+    plan = targets(sources, weights, limit).select(F.col("source").alias("s"), F.col("words").alias("source_size"), "target", whole.alias("whole"), F.when(p < 1e-12, 0.0).otherwise(p).alias("p"))
+    plan = small_side(plan, BROADCAST_SOURCES)
+    of_source = F.col("source").eqNullSafe(F.col("s"))
+    units = units.join(plan, of_source).select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("missing"), "source", "size", "rows", "whole", "p")
 
     columns = ["doc_id", "missing", "source", "size", "rows", "whole", "p"]
-    left = {k: n for k, *_, p, n in plan if p >= 1e-12}
-    settled, open_ = [units.where("p = 0")], units.where("p > 0")
-    level = 0
-    while left:
-        parts = {k: -(-n // chunk) for k, n in left.items()}
-        last = max(parts.values()) == 1
-        many = F.create_map(*[F.lit(x) for k, n in parts.items() for x in (k or "", n)]) if len(parts) < 1000 else None
-        of = F.lit(1) if last else F.coalesce(many[F.coalesce("source", F.lit(""))], F.lit(1)) if many is not None else F.lit(max(parts.values()))
-        part = F.pmod(F.xxhash64("doc_id", "missing", "size", F.lit(level)), of)
-        flown = cut(open_.withColumn("part", part).groupBy("source", "part").applyInPandas(_flown(last), UNITS))
+    settled, open_, level = [units.where("p = 0")], units.where("p > 0"), 0
+    while True:
+        parts = open_.groupBy(F.col("source").alias("s")).agg(F.ceil(F.count("*") / chunk).alias("parts"))
+        most = parts.agg(F.max("parts")).first()[0]
+        if most is None:
+            break
+        part = F.pmod(F.xxhash64("doc_id", "missing", "size", F.lit(level)), "parts")
+        flown = cut(open_.join(small_side(parts, BROADCAST_SOURCES), of_source).withColumn("part", part).drop("s", "parts").groupBy("source", "part").applyInPandas(_flown(most == 1), UNITS))
         settled.append(flown.where("p = 0 or p = 1"))
         open_ = flown.where("p > 0 and p < 1")
-        left = {} if last else {r["source"]: r["n"] for r in open_.groupBy("source").agg(F.count("*").alias("n")).collect()}
         level += 1
+        if most == 1:
+            break
     out = settled[0].select(columns)
     for x in settled[1:]:
         out = out.unionAll(x.select(columns))
     out = out.withColumn("copies", F.col("whole") + F.col("p").cast("long"))
     out = out.withColumn("doc_id", F.when(~F.col("missing"), F.col("doc_id")))
-    return out.join(plan_df.select("s", "source_size", "target"), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "rows", "copies", "source_size", "target")
+    return out.join(plan.select("s", "source_size", "target"), of_source).select("doc_id", "source", "size", "rows", "copies", "source_size", "target")
 
 
 def size_of(text_col: str = "text"):
@@ -150,7 +163,8 @@ def size_of(text_col: str = "text"):
 
 def sampled(docs: DataFrame, **kwargs) -> DataFrame:
     """The rows of ``docs``, each as often as ``mix`` takes it."""
-    copies = mix(docs, **kwargs).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies")).where("_copies > 0")
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
-    joined = docs.withColumn("_words", size_of("text")).join(copies.hint("shuffle_hash"), on)
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*docs.columns)
+    key, source, size, copies, words, copy = free(docs, "key", "from", "size", "copies", "words", "copy")
+    taken = mix(docs, **kwargs).select(F.col("doc_id").alias(key), F.col("source").alias(source), F.col("size").alias(size), F.col("copies").alias(copies)).where(F.col(copies) > 0)
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(words) == F.col(size))
+    joined = docs.withColumn(words, size_of("text")).join(taken.hint("shuffle_hash"), on)
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*(f"`{c}`" for c in docs.columns))

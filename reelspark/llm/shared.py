@@ -177,6 +177,17 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df.hint("shuffle_hash")
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to be no column of ``df``."""
+    used = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def crc32_of(column: str) -> Column:
     """crc32 of an id written as text."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from reelspark.llm import lines, mixing, quality, queries
+from reelspark.llm import lines, quality, queries
 from tests.llm import brute
 from tests.llm.test_text_operators import check_packed
 
@@ -81,7 +81,7 @@ def test_mixing_stage(stages):
         largest[r.source] = max(largest.get(r.source, 0), size(r.text))
     for r in stages[4].collect():
         after[r.source] = after.get(r.source, 0) + size(r.text)
-    for source, target in mixing.targets(before).items():
+    for source, target in brute.targets(before).items():
         assert abs(after.get(source, 0) - target) <= largest[source]
     assert stages[4].groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 3
 
