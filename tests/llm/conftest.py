@@ -18,7 +18,7 @@ def odd_docs(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(rows, DOCS)
-    for name in ("u", "v", "a", "n", "h", "token", "component", "size", "copies", "label", "template", "score", "p", "rows"):
+    for name in ("u", "v", "a", "n", "h", "token", "component", "size", "copies", "label", "template", "score", "p", "rows", "_h", "_i", "_g", "_drop", "n_dropped", "_words", "_id", "_copies", "_text", "key", "hash", "own", "drop", "words", "copy", "from", "two words", "task", "tokens"):
         df = df.withColumn(name, F.lit("clash"))
     return df
 
