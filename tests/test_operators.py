@@ -359,3 +359,40 @@ def test_streams_equal_batches(spark, tmp_path):
     last = {v: max(s for w, s in batch if w == v) for v in range(3)}
     # A video's last segment is open until it is idle, unless a null closed it.
     assert {k: v for k, v in batch.items() if k[1] != last[k[0]]}.items() <= got.items() <= batch.items()
+
+
+def test_streamed_tracks_equal_batch_ones(spark, tmp_path):
+    from reelspark.streaming import stateful
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for video in range(3):
+        for frame in range(12):
+            for k in range(int(rng.integers(0, 4))):
+                x, y = (rng.integers(0, 40, 2) + 30 * k).tolist()
+                rows.append((video, frame, k, [float(x), float(y), x + 50.0, y + 50.0]))
+    schema = "video long, frame_idx int, det_ord int, box array<double>"
+    for part in range(3):
+        spark.createDataFrame([r for r in rows if r[1] // 4 == part], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = stateful.streamed_tracks(stream, 0.3, 2).writeStream.format("memory").queryName("seen_tracks").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = sorted(tuple(r) for r in spark.sql("select * from seen_tracks").collect())
+    batch = track.tracked(spark.createDataFrame(rows, schema), 0.3, 2)
+    assert got == sorted((r.video, r.frame_idx, r.det_ord, r.track_id) for r in batch.collect())
+
+
+def test_windowed_counts_and_batches(spark, tmp_path):
+    from reelspark.streaming import stateful
+
+    rows = [(f"2024-01-01 0{h}:{m:02d}:00", kind, float(m)) for h in range(4) for m in (0, 20, 40) for kind in ("a", "b")]
+    df = spark.createDataFrame(rows, "ts string, event_type string, value double")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    q = stateful.windowed_counts(stream).writeStream.format("memory").queryName("seen_counts").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {(str(r.window.start), r.event_type): (r.n, r.value) for r in spark.sql("select * from seen_counts").collect()}
+    assert got == {(f"2024-01-01 0{h}:00:00", kind): (3, 60.0) for h in range(4) for kind in ("a", "b")}
+    q = stateful.reduce_batches(stream, lambda batch: batch.groupBy("event_type").count(), str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert {(r.event_type, r["count"], r.batch) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("a", 12, 0), ("b", 12, 0)}
