@@ -157,6 +157,25 @@ def test_vectors_of_the_table(spark, sf):
     assert got == dict(zip((k for k, _ in rows), hit.sum(1).tolist())) and sum(got.values()) >= 60
 
 
+def test_vectors_of_two_lengths(spark):
+    rows = [(k, [1.0, 0.1 * k, 0.0]) for k in range(3)] + [(10, [1.0, 0.0]), (11, [2.0, 0.0]), (12, [1.0, 0.0, 0.0, 0.0]), (13, [0.0, 1.0])]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {0: (2, 0, True), 1: (2, 0, False), 2: (2, 0, False), 10: (1, 10, True), 11: (1, 10, False), 12: (0, 12, True), 13: (0, 13, True)}
+
+
+def test_vectors_of_many_dimensions(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(30, 70))
+    rows = [(k, (centres[k % 30] + rng.normal(scale=0.25, size=70)).tolist()) for k in range(400)]
+    m = np.array([v for _, v in rows])
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    for threshold in (0.95, 0.9):
+        hit = m @ m.T >= threshold
+        np.fill_diagonal(hit, False)
+        got = {r.vec_id: r.n_links for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), threshold, tile=32).collect()}
+        assert got == dict(enumerate(hit.sum(1).tolist()))
+
+
 def test_no_vectors(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert vectors.near_vectors(empty).count() == 0
