@@ -2,8 +2,9 @@
 
 A text becomes its words (ASCII letters lowered, everything but ASCII digits, letters and non-ASCII
 characters parts them). A few anchor strings decide whether a text is looked at; a rule's own keyword
-then decides whether its regex runs. The rules are built from a table of names and a table of forms,
-in order of priority. Of two detections, one that lies inside the words of another of the same or a
+then decides whether its regex runs. Some rules are sentences and addresses
+that name or imply one license; the others are built from a table of names and a table of forms, in
+order of priority. Of two detections, one that lies inside the words of another of the same or a
 higher priority is suppressed, so ``lgpl version 3`` does not also give ``gpl``. The base phrases
 are matched plainly and always stay.
 
@@ -114,9 +115,55 @@ FORMS = (
 #: Texts that speak for a license without naming it, after the forms.
 TEXTS = (
     ("mit", "permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy", 0.9),
+    ("mit", "copies or substantial portions", r"(?:the above copyright notice and )?this permission notice shall be included in all copies or substantial portions", 0.8),
+    ("mit", "opensource org", r"opensource org licenses? mit", 0.85),
+    ("bsl-1", "accompanying documentation", r"any person or organi[sz]ation obtaining a copy of the software and accompanying documentation", 0.9),
     ("bsd", "redistribution and use", r"redistribution and use in source and binary forms with or without modification", 0.85),
+    ("bsd-2", "redistributions of source code", r"redistributions of source code must retain the above copyright notice", 0.7),
+    ("bsd-3", "endorse or promote", r"neither the names? of (?:[^ ]+ ){1,12}may be used to endorse or promote products", 0.85),
+    ("bsd-3", "opensource org", r"opensource org licenses? bsd 3(?: clause)?", 0.85),
+    ("bsd-4", "advertising materials", r"all advertising materials mentioning features or use of this software must display", 0.9),
     ("isc", "permission to use copy modify", r"permission to use copy modify and or distribute this software for any purpose", 0.9),
+    ("postgresql", "permission to use copy modify", r"permission to use copy modify and distribute this software and its documentation for any purpose", 0.8),
+    ("zlib", "altered source versions", r"altered source versions must be plainly marked as such", 0.9),
+    ("zlib", "express or implied warranty", r"provided as is without any express or implied warranty in no event will the authors be held liable", 0.8),
+    ("apache-2", "except in compliance", r"you may not use this (?:file|work) except in compliance with the license", 0.85),
+    ("apache-2", "unless required by applicable law", r"unless required by applicable law or agreed to in writing software distributed under the license", 0.85),
+    ("apache-2", "apache org", r"apache org licenses(?: license)? 2 0", 0.9),
     ("gpl", "free software", r"this program is free software you can redistribute it and or modify it", 0.85),
+    ("gpl-3", "any later version", r"either version 3 of the license or (?:at your option )?any later version", 0.7),
+    ("gpl-2", "any later version", r"either version 2 of the license or (?:at your option )?any later version", 0.7),
+    ("lgpl", "free software", r"this library is free software you can redistribute it and or modify it", 0.85),
+    ("gpl-3", "gnu org", r"gnu org licenses gpl 3 0", 0.85),
+    ("gpl-2", "gnu org", r"gnu org licenses (?:old licenses )?gpl 2 0", 0.85),
+    ("lgpl", "gnu org", r"gnu org licenses lgpl", 0.8),
+    ("agpl-3", "gnu org", r"gnu org licenses agpl", 0.8),
+    ("agpl-3", "remotely through a computer network", r"users interacting with it remotely through a computer network", 0.85),
+    ("gfdl", "invariant sections", r"with no invariant sections(?: no front cover texts)?", 0.8),
+    ("mpl-2", "source code form", r"this source code form is subject to the terms of the mozilla public license", 0.9),
+    ("mpl-2", "mozilla org", r"mozilla org mpl 2 0", 0.85),
+    ("epl", "accompanying materials", r"this program and the accompanying materials are made available under the terms", 0.8),
+    ("cddl-1", "common development", r"the contents of this file are subject to the terms of the common development and distribution license", 0.9),
+    ("artistic", "same terms as perl", r"under the same terms as perl(?: 5)? itself", 0.85),
+    ("python-2", "psf is making", r"psf is making python(?: [0-9 ]+)? available to licensee", 0.9),
+    ("openssl", "openssl project", r"this product includes software developed by the openssl project", 0.85),
+    ("ofl-1.1", "reserved font name", r"with reserved font names?", 0.8),
+    ("unlicense", "unencumbered software", r"this is free and unencumbered software released into the public domain", 0.9),
+    ("wtfpl", "what the fuck", r"do what the fuck you want to(?: public license)?", 0.9),
+    ("cc0", "copyright and related or neighboring rights", r"waived all copyright and related or neighboring rights", 0.9),
+    ("cc0", "creativecommons org", r"creativecommons org publicdomain zero(?: 1 0)?", 0.9),
+    ("cc-by-nc-nd", "creativecommons org", r"creativecommons org licenses by nc nd(?: [1-4] [05])?", 0.9),
+    ("cc-by-nc-sa", "creativecommons org", r"creativecommons org licenses by nc sa(?: [1-4] [05])?", 0.9),
+    ("cc-by-nc", "creativecommons org", r"creativecommons org licenses by nc(?: [1-4] [05])?", 0.9),
+    ("cc-by-nd", "creativecommons org", r"creativecommons org licenses by nd(?: [1-4] [05])?", 0.9),
+    ("cc-by-sa", "creativecommons org", r"creativecommons org licenses by sa(?: [1-4] [05])?", 0.9),
+    ("cc-by", "creativecommons org", r"creativecommons org licenses by(?: [1-4] [05])?", 0.9),
+    ("odbl-1", "opendatacommons org", r"opendatacommons org licenses odbl", 0.85),
+    ("json", "good not evil", r"the software shall be used for good not evil", 0.9),
+    ("beerware", "buy me a beer", r"you can buy me a beer(?: in return)?", 0.8),
+    ("proprietary", "proprietary information", r"(?:this software|this document|this file) (?:is|contains) (?:the )?confidential and proprietary information", 0.8),
+    ("proprietary", "unauthorized copying", r"unauthorized copying of this (?:file|software|document)(?: via any medium)? is strictly prohibited", 0.8),
+    ("non-commercial", "commercial use", r"for (?:personal and )?non ?commercial use only", 0.6),
     ("public-domain", "public domain", r"(?:dedicated to|released into|placed in|in) the public domain", 0.6),
     ("all-rights-reserved", "all rights reserved", r"all rights reserved", 0.4),
 )
@@ -179,16 +226,20 @@ def scan(text: bytes) -> dict:
         while (k := joined.find(wanted, k + 1)) >= 0:
             out["base"].append((word(k), word(k + len(wanted) - 1), label))
     kept: list[tuple[int, int, str, float]] = []
+    reach = np.zeros(len(words), np.int64)  # the furthest end of the kept ones that begin at a word or before
     seen: dict[bytes, bool] = {}
     for rule in _RULES:
         for x in (rule.anchor, rule.keyword):
             if x not in seen:
                 seen[x] = x in joined
         if seen[rule.anchor] and seen[rule.keyword]:
-            for m in rule.pattern.finditer(joined):
-                a, b = word(m.start() - 1), word(m.end())
-                if not any(x <= a and b <= y for x, y, _, _ in kept):
-                    kept.append((a, b, rule.label, rule.score))
+            spans = np.array([(m.start() - 1, m.end()) for m in rule.pattern.finditer(joined)], np.int64).reshape(-1, 2)
+            spans = np.searchsorted(at, spans)
+            spans = spans[reach[spans[:, 0]] < spans[:, 1]]
+            if len(spans):
+                kept += [(int(a), int(b), rule.label, rule.score) for a, b in spans]
+                np.maximum.at(reach, spans[:, 0], spans[:, 1])
+                np.maximum.accumulate(reach, out=reach)
     out["detections"] = sorted(kept)
     return out
 
