@@ -14,6 +14,7 @@ repeated rows give equal values; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import struct
 import zlib
@@ -144,21 +145,34 @@ def _gzip(b: bytes, at: int) -> int | None:
     return len(b) - len(reader.unused_data) if reader.eof else None
 
 
-def _zip(b: bytes, at: int) -> int | None:
-    k = b.find(b"PK\x05\x06", at)
+@functools.lru_cache(maxsize=1)
+def _zip_ends(b: bytes) -> dict[int, int | None]:
+    """End of the archive by its start, from every end record of a content; the first record counts."""
+    out: dict[int, int | None] = {}
+    k = b.find(b"PK\x05\x06")
     while k >= 0 and k + 22 <= len(b):
         size, start, note = struct.unpack("<IIH", b[k + 12 : k + 22])
-        if at + start + size == k and (size == 0 or b[at + start : at + start + 4] == b"PK\x01\x02"):
-            return k + 22 + note if k + 22 + note <= len(b) else None
+        at = k - start - size
+        if at >= 0 and (size == 0 or b[at + start : at + start + 4] == b"PK\x01\x02"):
+            out.setdefault(at, k + 22 + note if k + 22 + note <= len(b) else None)
         k = b.find(b"PK\x05\x06", k + 4)
-    return None
+    return out
+
+
+def _zip(b: bytes, at: int) -> int | None:
+    return _zip_ends(b).get(at)
+
+
+@functools.lru_cache(maxsize=1)
+def _pdf_marks(b: bytes) -> tuple[int, int]:
+    """The last end mark, and the place from which on a file can't begin any more to hold what comes before that mark."""
+    k = b.rfind(b"%%EOF")
+    return k, min(b.rfind(b"startxref", 0, max(k, 0)), b.rfind(b" obj", 0, max(k, 0)))
 
 
 def _pdf(b: bytes, at: int) -> int | None:
-    if not b[at + 5 : at + 6].isdigit():
-        return None
-    k = b.rfind(b"%%EOF", at)
-    return k + 5 if k >= 0 and b.find(b"startxref", at, k) >= 0 and b.find(b" obj", at, k) >= 0 else None
+    end, last = _pdf_marks(b)
+    return end + 5 if b[at + 5 : at + 6].isdigit() and at <= last else None
 
 
 def _ogg(b: bytes, at: int) -> int | None:

@@ -49,6 +49,19 @@ def test_random_tokens_are_told_from_names(spark):
     assert sum(got[k] > 0 for k in range(60, 80)) <= 1
 
 
+def test_recall_by_encoding_and_length(spark, documents):
+    rng = np.random.default_rng(1)
+    alphabets = {"hex": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+    least = {("hex", 32): 50, ("base32", 32): 20, ("base64", 32): 50, ("hex", 64): 57, ("base32", 64): 55, ("base64", 64): 58}
+    kinds = [key for key in least for _ in range(60)]
+    made = [(10**7 + k, "the value is " + "".join(rng.choice(list(alphabets[e]), n)) + " as given") for k, (e, n) in enumerate(kinds)]
+    got = secrets.secret_spans(documents.select("doc_id", "text").unionAll(spark.createDataFrame(made, "doc_id long, text string"))).collect()
+    found = {r.doc_id: sum(s.kind == 3 for s in r.spans) for r in got}
+    for key, n in least.items():
+        assert sum(found[10**7 + k] > 0 for k, x in enumerate(kinds) if x == key) >= n, key
+    assert sum(v for k, v in found.items() if k < 10**7) <= 2
+
+
 def test_cutoffs_ask_more_of_ranges_with_more_nulls():
     few = secrets.cutoffs({(2, 100): 10, (2, 0): 10})
     many = secrets.cutoffs({(2, 60): 10, (2, 0): 100_000})
@@ -195,14 +208,36 @@ def test_each_format_is_found_and_carved(spark):
     assert all(got[k].type == media.UNKNOWN and not got[k].carved and not got[k].corrected for k in (200, 201, 202, 203))
 
 
+def test_repeated_magic_takes_linear_time():
+    import time
+
+    took = []
+    for n in (20_000, 160_000):
+        start = time.process_time()
+        assert media.objects(b"PK\x03\x04%PDF-1" * n) == []
+        took.append(time.process_time() - start)
+    assert took[1] < 30 * took[0] + 0.5
+
+
 # Mixing
 
 
-def test_targets_share_and_cap():
-    got = mixing.targets({"b": 100, "a": 10, None: 300, "c": 590})
-    assert got["a"] == 30 and sum(got.values()) == pytest.approx(1000)
-    assert list(mixing.targets({})) == [] and mixing.targets({"x": 0}) == {"x": 0.0}
-    assert mixing.targets({"a": 5}) == {"a": 5.0}
+def targets_of(spark, sizes):
+    df = spark.createDataFrame(list(sizes.items()), "source string, words long").repartition(3)
+    return {r.source: r.target for r in mixing.targets(df).collect()}
+
+
+def test_targets_share_and_cap(spark):
+    got = targets_of(spark, {"b": 100, "a": 10, None: 300, "c": 590})
+    assert got == {k: pytest.approx(v) for k, v in brute.targets({"b": 100, "a": 10, None: 300, "c": 590}).items()}
+    assert targets_of(spark, {}) == {} and targets_of(spark, {"x": 0}) == {"x": 0.0} and targets_of(spark, {"a": 5}) == {"a": 5.0}
+
+
+def test_targets_equal_plain_ones(spark):
+    rng = random.Random(1)
+    for n in (2, 7, 40):
+        sizes = {f"s{k}": rng.choice([0, 1, 5, 100, 10_000]) for k in range(n)} | {None: 3, "": 50}
+        assert targets_of(spark, sizes) == {k: pytest.approx(v) for k, v in brute.targets(sizes).items()}
 
 
 def test_flight_keeps_both_totals():
@@ -225,7 +260,7 @@ def test_mix_meets_the_targets(spark, sf, documents):
     got["source"] = got.doc_id.map(source)
     per = got.groupby("source").agg(total=("size", "sum"), source_size=("source_size", "first"), target=("target", "first"), taken=("taken", "sum"), largest=("size", "max"))
     assert (per.total == per.source_size).all()
-    want = mixing.targets(per.total.to_dict())
+    want = brute.targets(per.total.to_dict())
     assert per.target.to_dict() == pytest.approx(want)
     assert ((per.taken - per.target).abs() <= per.largest).all()
     assert (got.taken <= 3 * got["size"]).all() and (got.taken % got["size"].clip(lower=1) == 0).all()
@@ -239,6 +274,24 @@ def test_small_chunks_give_the_same_balance(spark, documents):
     assert ((taken - got.groupby("source").target.first()).abs() <= got.groupby("source")["size"].max()).all()
 
 
+def test_a_null_source_beside_an_empty_one(spark):
+    rows = [(k, "w " * (1 + k % 7), None if k % 50 else "") for k in range(3000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), chunk=64).toPandas()
+    for source, part in got.assign(source=got.source.where(got.source.notna(), "null")).groupby("source"):
+        assert abs((part["size"] * part.copies).sum() - part.target.iloc[0]) <= 14, source
+    assert len(got) == 3000
+
+
+def test_many_sources_are_chunked_alike(spark):
+    rows = [(k, "w " * (1 + k % 5), f"s{k % 1500}") for k in range(6000)]
+    few = [r for r in rows if int(r[2][1:]) < 30]
+    docs = lambda x: spark.createDataFrame(x, "doc_id long, text string, source string")
+    got = mixing.mix(docs(rows), weights=(1,)).toPandas()
+    per = got.groupby("source").apply(lambda p: abs((p["size"] * p.copies).sum() - p.target.iloc[0]), include_groups=False)
+    assert len(per) == 1500 and per.max() <= 10
+    assert len(mixing.mix(docs(few), weights=(1,)).toPandas()) == len(few)
+
+
 def test_mixing_odd_rows(odd_docs, no_docs):
     got = mixing.mix(odd_docs)
     assert got.agg(F.sum("rows")).first()[0] == odd_docs.count()
@@ -273,6 +326,10 @@ def test_rules_and_suppression():
     assert labels("released under CC BY-NC-SA 4.0") == {"cc-by-nc-sa"}
     assert labels("Mozilla Public License 2.0 and the Boost Software License 1.0") == {"mpl-2", "bsl-1"}
     assert labels("he studied at mit under a professor") == set()
+    assert labels("see https://creativecommons.org/licenses/by-nc-sa/4.0/") == {"cc-by-nc-sa"}
+    assert labels("you may not use this file except in compliance with the License. http://www.apache.org/licenses/LICENSE-2.0") == {"apache-2"}
+    assert labels("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products") == {"bsd-3"}
+    assert labels("of all the copies she made, none was for personal use") == set()
 
 
 def examples(pattern):
@@ -334,6 +391,19 @@ def test_every_alternative_of_a_rule_is_found():
     assert labels("Creative Commons Attribution-No Derivative Works") == {"cc-by-nd"}
 
 
+def test_very_many_detections_take_linear_time():
+    import time
+
+    text = b"under the mit license and licensed under the gnu general public license version 3, cc by nc 4.0; "
+    took = []
+    for n in (1000, 8000):
+        start = time.process_time()
+        found = licenses.scan(text * n)
+        took.append(time.process_time() - start)
+        assert len(found["base"]) == 2 * n and len(found["detections"]) >= 3 * n
+    assert took[1] < 24 * took[0]
+
+
 def test_licenses_of_odd_rows(odd_docs, no_docs):
     assert licenses.license_scan(odd_docs).count() == odd_docs.count()
     assert licenses.license_scan(no_docs).count() == 0
@@ -426,5 +496,5 @@ def test_only_recurring_lines_change(spark, documents):
 
 def test_lines_of_odd_rows(odd_docs, no_docs):
     got = lines.dedup_lines(odd_docs)
-    assert got.columns == [*odd_docs.columns, "n_dropped"] and got.count() == odd_docs.count()
+    assert got.columns == [*(c for c in odd_docs.columns if c != "n_dropped"), "n_dropped"] and got.count() == odd_docs.count()
     assert lines.dedup_lines(no_docs).count() == 0
