@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.llm import kernels
-from reelspark.llm.shared import crc32_of, summed
+from reelspark.llm.shared import crc32_of, free, summed
 from reelspark.session import ready
 
 BUCKETS, DIMENSIONS, ONES, WINDOW = 1 << 14, 64, 4, 2
@@ -127,12 +127,17 @@ def predict(x: np.ndarray, net: dict) -> np.ndarray:
     return _sigmoid(_forward(x, net)[1] / net["temperature"]) if "w1" in net else np.full(len(x), net["prior"])
 
 
-def labelled(labels: DataFrame, column: str, sample: int, learn: bool = True) -> DataFrame:
-    """(doc_id, y) of at most ``sample`` labelled documents outside the held-out fold, chosen by hash."""
+def labelled(docs: DataFrame, labels: DataFrame, column: str, sample: int) -> DataFrame:
+    """(doc_id, y) of at most ``sample`` labelled ones of ``docs`` outside the held-out fold, chosen by hash."""
     rows = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull())
-    rows = rows.where(F.pmod(crc32_of("doc_id"), F.lit(5)) != 0) if learn else rows
+    rows = rows.where(F.pmod(crc32_of("doc_id"), F.lit(5)) != 0)
     rows = rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(column).alias("y"))
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    return rows.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+
+
+def one_row_each(rows: DataFrame) -> list:
+    """(doc_id, y, x) in order of id; of a document's different texts the one whose x is smallest."""
+    return sorted(rows.groupBy("doc_id").agg(F.min("y").alias("y"), F.min("x").alias("x")).collect())
 
 
 def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, sample: int = SAMPLE) -> dict:
@@ -143,9 +148,9 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, sample: int =
             x = pooled(batch.column(2), vectors)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "y": batch.column(1), "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
-    chosen = F.broadcast(labelled(labels, "quality", sample))  # at most ``sample`` rows
+    chosen = F.broadcast(labelled(docs, labels, "quality", sample))  # at most ``sample`` rows
     rows = docs.join(chosen, "doc_id").select("doc_id", F.col("y").cast("long").alias("y"), "text").mapInArrow(run, "doc_id long, y long, x binary")
-    rows = sorted(rows.dropDuplicates(["doc_id"]).collect())
+    rows = one_row_each(rows)
     y = np.array([r["y"] for r in rows], np.float64)
     if len(set(y)) < 2:
         return {"prior": float(y.mean()) if len(y) else 0.5}
@@ -168,6 +173,6 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample:
         rows = slim.withColumn("held_out", F.coalesce(F.pmod(crc32_of("doc_id"), F.lit(5)) == 0, F.lit(False))).select("doc_id", "held_out", "text")
         rows = rows.mapInArrow(run, "doc_id long, held_out boolean, score double")
     else:
-        rows = docs.select(*keep, F.col(text_col).alias("_text"))
+        rows = docs.select(*keep, F.col(text_col).alias(*free(docs, "text")))
         rows = rows.mapInArrow(run, ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", score double")
     return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
