@@ -14,18 +14,19 @@ _GROUPS = (("left_eye", 6, 7, 11, 60, 20), ("right_eye", 6, 13, 17, 60, 20), ("n
 _LINES = "select l_orderkey as video, l_linenumber as n, l_partkey as part, l_suppkey as supp, l_quantity as quantity, l_discount as discount, l_extendedprice as price, l_tax as tax, l_shipdate as day from {lineitem}"
 
 
-def _x(k: int, f: int, r: int) -> str:
-    return f"(part * {f} + supp * {k + 3} + {k} * 37) % {r}"
+def _x(k: int | str, f: int, r: int) -> str:
+    return f"(part * {f} + supp * ({k} + 3) + {k} * 37) % {r}"
 
 
-def _y(k: int, f: int, r: int, shift: int) -> str:
-    return f"(supp * {f} + part * {k + 2} + {k} * 17) % {r} + {shift}"
+def _y(k: int | str, f: int, r: int, shift: int) -> str:
+    return f"(supp * {f} + part * ({k} + 2) + {k} * 17) % {r} + {shift}"
 
 
 def _points(name: str, spark_side: bool) -> str:
     _, n, f, g, r, shift = next(x for x in _GROUPS if x[0] == name)
     if spark_side:
-        return "array(" + ", ".join(f"named_struct('x', cast({_x(k, f, r)} as int), 'y', cast({_y(k, g, r, shift)} as int))" for k in range(n)) + ")"
+        # By the number of the point, in one small expression: the code of all points one by one is too large to be compiled.
+        return f"transform(sequence(0, {n - 1}), k -> named_struct('x', cast({_x('k', f, r)} as int), 'y', cast({_y('k', g, r, shift)} as int)))"
     return "[" + ", ".join(f"{{'x': ({_x(k, f, r)})::double, 'y': ({_y(k, g, r, shift)})::double}}" for k in range(n)) + "]"
 
 
