@@ -12,7 +12,11 @@ copies are quadratic in its size, so only its components are found, from a numbe
 stays in proportion to the index:
 
 * a token of at most ``SHORT`` classes gives its pairs, at most (SHORT - 1) / 2 for each row of the index;
-* a token of more classes names one of them as its hub: the one with the commonest prefix, which in a
+* sets that share only tokens of more classes share ``l`` of them, so the last l - 1 of a set's such
+  tokens (the commonest) are left out, and the classes of the others are parted by their sizes. What
+  has at most ``SHORT`` classes then gives its pairs too, of which only those that share l tokens
+  are compared;
+* a larger part names one of its classes as its hub: the one with the commonest prefix, which in a
   group of near copies is the one closest to all. Its classes are compared with the hub alone. Those
   that do not link with it are compared with each other and with the rest by their differences from
   the hub, which decide the similarity exactly: |x ^ y| = |x ^ h| + |y ^ h| - 2 |(x ^ h) & (y ^ h)|. By
@@ -29,11 +33,12 @@ row and is ignored when another id of its component exists; other columns are ig
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspark.llm import kernels
@@ -44,12 +49,12 @@ COUNTS = 1 << 20
 BITS = 1 << 24
 #: Tokens that two prefixes must share; smaller sets need fewer.
 LEAST = 8
-#: Classes of a token up to which its pairs are listed.
+#: Classes of a token, or of a part of them alike in size, up to which their pairs are listed.
 SHORT = 16
 #: A token is common, and not gathered in one task, if its place counts this often the mean and this much more.
 COMMON, COMMON_MORE = 8, 256
-#: Pairs whose names may be broadcast: 24 bytes each.
-BROADCAST_PAIRS = 100_000
+#: Pairs whose names may be broadcast: 24 bytes each; names of classes.
+BROADCAST_PAIRS, BROADCAST_IDS = 100_000, 200_000
 #: Classes that meet one copy of their hub, and differences in a block (8 bytes each).
 PER_HUB, BLOCK = 512, 1 << 20
 #: Set names that a task remembers, not to send a set's tokens again.
@@ -292,6 +297,11 @@ def _near(x: Column, y: Column, percent: int) -> Column:
     return (100 * F.least(x, y)) >= (percent * F.greatest(x, y))
 
 
+def _scale(n: Column, percent: int) -> Column:
+    """A number that differs by at most 1 between sizes that allow a link."""
+    return F.floor(F.log(n) / max(math.log(100 / percent) * (1 + 1e-9), 1e-9))
+
+
 def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row, as the module says; ``percent`` is the similarity in hundredths."""
     shelf = Shelf(docs.sparkSession)
@@ -332,9 +342,18 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
         hubs = sets.withColumnRenamed("a", "v").join(small_side(hubs, BROADCAST_PAIRS), "v").select("v", "salt", F.lit(None).cast("long").alias("u"), F.lit(False).alias("far"), "tokens")
         return shelf.keep(left.unionAll(hubs).repartition("v", "salt").sortWithinPartitions("v", "salt", "u").mapInArrow(_against(percent, level), AGAINST))
 
+    # Of its hot tokens, a class needs the first ones alone, each with classes of its size or the next: a part that no smaller one holds.
+    rank = F.row_number().over(Window.partitionBy("a").orderBy("classes", "token"))
+    hot = index.where((F.col("classes") > SHORT) & (F.col("hot") >= need)).withColumn("k", rank).where(F.col("k") + need <= F.col("hot") + 1)
+    hot = hot.withColumn("scale", _scale(F.col("n"), percent)).withColumn("part", F.explode(F.array("scale", F.col("scale") + 1)))
+    hot = hot.select(F.xxhash64("token", "part").alias("token"), "a", "n", "hot", "weight", (F.col("scale") == F.col("part")).alias("own"))
+    alike = hot.groupBy("token").agg(F.count("*").alias("classes"), F.bool_or("own").alias("new")).where("classes > 1 and new").select("token", "classes")
+    hot = shelf.keep(hot.drop("own").join(alike, "token"))
+
     # Each class against the hubs of its hot tokens, and against the commonest hub of the others.
     hub = lambda df: df.join(df.groupBy("token").agg(F.max_by("a", F.struct("weight", "a")).alias("v")), "token").where("a != v")
-    hot = hub(index.where((F.col("classes") > SHORT) & (F.col("hot") >= need))).select(F.col("a").alias("u"), "v").distinct()
+    listed = hot.where(F.col("classes") <= SHORT).select("token", "a", "n", "hot")
+    hot = hub(hot.where(F.col("classes") > SHORT)).select(F.col("a").alias("u"), "v").distinct()
     cold = hub(index.where(F.col("classes") <= SHORT)).groupBy("a", "n", "hot", "v").count()
     cold = cold.where(F.col("count") + F.col("hot") >= need).groupBy("a", "n").agg(F.max_by("v", F.struct("count", "v")).alias("v"))
     cold = cold.join(classes.select(F.col("a").alias("v"), F.col("n").alias("m")), "v").where(_near(F.col("n"), F.col("m"), percent)).select(F.col("a").alias("u"), "v")
@@ -363,13 +382,18 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     found = components(links)
 
     # All pairs of a token of few classes that are not in one component yet.
-    cold = index.where(F.col("classes") <= SHORT).join(found.withColumnRenamed("node", "a"), "a", "left").withColumn("c", F.coalesce("component", "a"))
+    cold = index.where(F.col("classes") <= SHORT).select("token", "a", "n", "hot").unionAll(listed).join(found.withColumnRenamed("node", "a"), "a", "left").withColumn("c", F.coalesce("component", "a"))
     mixed = cold.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token")
     cold = shelf.keep(cold.join(mixed, "token").select("token", "a", "n", "hot", "c"))
     two = cold.select("token", F.col("a").alias("v"), F.col("n").alias("m"), F.col("hot").alias("hot2"), F.col("c").alias("c2"))
     both = cold.withColumnRenamed("a", "u").join(two, "token").where((F.col("u") < F.col("v")) & (F.col("c") != F.col("c2")) & _near(F.col("n"), F.col("m"), percent))
     both = both.groupBy("u", "v").agg(F.count("*").alias("count"), F.first(F.least("hot", "hot2")).alias("hot"), F.first(F.greatest("n", "m")).alias("n"))
-    both = both.where(F.col("count") + F.col("hot") >= need).select("u", "v")
+    both = shelf.keep(both.where(F.col("count") + F.col("hot") >= need).select("u", "v", "n"))
+    # Those that share enough tokens of all, in the index's own order.
+    nodes = small_side(both.select(F.explode(F.array("u", "v")).alias("a")).distinct(), BROADCAST_IDS)
+    prefixes = index.join(nodes, "a", "left_semi").groupBy("a").agg(F.collect_list("token").alias("tokens"))
+    both = both.join(prefixes.select(F.col("a").alias("u"), F.col("tokens").alias("x")), "u").join(prefixes.select(F.col("a").alias("v"), F.col("tokens").alias("y")), "v")
+    both = both.where(F.size(F.array_intersect("x", "y")) >= need).select("u", "v")
     both = both.join(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti")
     links = links.unionAll(against(shelf.keep(both.withColumn("far", F.lit(False)))).where("linked").select("u", "v"))
     found = components(links)

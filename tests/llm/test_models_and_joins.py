@@ -97,6 +97,30 @@ def test_chains_and_hot_groups(spark):
     assert got == expected_groups(rows, 4, 85)
 
 
+def test_shared_sentences_are_no_hot_groups(spark, monkeypatch):
+    # Unlike texts of all sizes from one pool of sentences, so nearly every token has many classes; and near copies of some.
+    sent, keep = [], shared.Shelf.keep
+    monkeypatch.setattr(shared.Shelf, "keep", lambda self, df: [out := keep(self, df), sent.append(out.agg(F.sum(F.length("diff"))).first()[0] or 0 if "diff" in df.columns else 0)][0])
+    rng = np.random.default_rng(8)
+    pool = [" ".join(f"p{k}w{j}" for j in range(60)) for k in range(100)]
+    sizes = np.exp(rng.uniform(np.log(2), np.log(40), 500)).astype(int)
+    rows = [(k, " ".join(pool[x] for x in rng.choice(100, n, replace=False))) for k, n in enumerate(sizes)]
+    for k in range(0, 500, 10):
+        words = rows[k][1].split(" ")
+        rows.append((1000 + k, " ".join(words[: len(words) - len(words) // (8 + k // 10 % 5)])))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()}
+    assert got == expected_groups(rows, 4, 85)
+    assert sum(sent) < 2 * sum(len(t) for _, t in rows)  # 21 times when each class met every hub of its tokens
+
+
+@pytest.mark.parametrize("percent", [80, 85, 100])
+def test_scales_of_sizes_that_link(spark, percent):
+    rows = spark.range(1, 3000).select(F.col("id").alias("n"), jaccard._scale(F.col("id"), percent).alias("k")).collect()
+    n, k = (np.array(x) for x in zip(*rows))
+    near = 100 * n[:, None] >= percent * n[None, :]
+    assert (np.abs(k[:, None] - k[None, :])[near & near.T] <= 1).all()
+
+
 def test_jaccard_of_odd_rows(odd_docs, no_docs):
     got = jaccard.jaccard_groups(odd_docs, 4, 85).collect()
     assert len(got) == odd_docs.count()
