@@ -2,11 +2,12 @@
 
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from reelspark.llm import lines, quality, queries
+from reelspark.llm import lines, quality, queries, shared
 from tests.llm import brute
 from tests.llm.test_text_operators import check_packed
 
@@ -72,6 +73,19 @@ def test_jaccard_stage_of_repeated_and_null_ids(spark, sf):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_jaccard_stage_of_shared_sentences(spark, sf, monkeypatch):
+    # Unlike texts of all sizes from one pool of sentences all stay, and few differences are written to tell.
+    sent, keep = [], shared.Shelf.keep
+    monkeypatch.setattr(shared.Shelf, "keep", lambda self, df: [out := keep(self, df), sent.append(out.agg(F.sum(F.length("diff"))).first()[0] or 0 if "diff" in df.columns else 0)][0])
+    rng = np.random.default_rng(8)
+    pool = [" ".join(f"p{k}w{j}" for j in range(60)) for k in range(100)]
+    sizes = np.exp(rng.uniform(np.log(2), np.log(40), 500)).astype(int)
+    rows = [(k, " ".join(pool[x] for x in rng.choice(100, n, replace=False)), "en", "s", None) for k, n in enumerate(sizes)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.one_of_each_group(spark, docs, sf).count() == 500
+    assert sum(sent) < 12 * sum(len(r[1]) for r in rows)  # measured: 9 times; 24 times when each class met every hub of its tokens
+
+
 def test_mixing_stage(stages):
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     before, after = {}, {}
