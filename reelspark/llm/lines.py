@@ -5,8 +5,9 @@ fixed depth: first its number of words, then its leading words. In a leaf, lines
 positions are merged and the positions where they differ become variables of their template. A leaf
 with very many different lines is merged in bounded parts, whose templates are merged again, until
 they fit into one part. Each turn deals them by another segment of their words: of as many segments
-as lines may differ in words and one more, lines that agree enough share one. A leaf that keeps too
-many templates ends when a turn of all segments merged none.
+as lines may differ in words and one more, lines that agree enough share one. A part that is still
+too large is cut into blocks, and every two blocks of it are merged together in one of its rounds.
+So no two templates of a leaf agree enough to be one, however many lines it has.
 
 A template that recurs across documents is dropped everywhere but in its first document (the
 smallest id). Recurrence is counted over independent documents: copies of one document count once,
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.llm import kernels
@@ -135,32 +136,32 @@ def merged(sigs: list[bytes], counts: list[int], exact: list[int]) -> list[int]:
     return _merge(sigs, counts, exact)[0]
 
 
-MERGED = "leaf long, exact long, template long, docs long, sig binary, last long"
+MERGED = "leaf long, exact long, template long, docs long, sig binary, part long, blocks long"
 
 
 def _generalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Templates of rows (leaf, part, exact, docs, sig, last) sorted by leaf and part; one part at a time is held.
+    """Templates of rows (leaf, group, exact, docs, sig, part, blocks) sorted by leaf and group; one group at a time is held.
 
     The row that names a template has its words and all its documents.
     """
-    part, held = None, ([], [], [], [])
+    group, held = None, ([], [], [], [], [])
 
     def out() -> pa.RecordBatch:
-        exact, docs, sigs, last = held
+        exact, docs, sigs, part, blocks = held
         template, words = _merge(sigs, docs, exact)
         total = dict.fromkeys(words, 0)
         for name, n in zip(template, docs, strict=True):
             total[name] += n
-        rows = ([part[0]] * len(exact), exact, template, [total.get(x) for x in exact], [words.get(x) for x in exact], last)
+        rows = ([group[0]] * len(exact), exact, template, [total.get(x) for x in exact], [words.get(x) for x in exact], part, blocks)
         return pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if k == 4 else pa.int64()) for k, x in enumerate(rows)], [x.split()[0] for x in MERGED.split(", ")])
 
     for batch in batches:
         done = []
-        for leaf, k, *row in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
-            if (leaf, k) != part:
+        for leaf, k, *row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+            if (leaf, k) != group:
                 if held[0]:
                     done.append(out())
-                part, held = (leaf, k), ([], [], [], [])
+                group, held = (leaf, k), ([], [], [], [], [])
             for x, y in zip(held, row, strict=True):
                 x.append(y)
         if done:
@@ -169,35 +170,56 @@ def _generalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def _group(block: Column, blocks: Column, turn: int) -> Column:
+    """The pair of blocks, an even number, in which a block is in a turn; in blocks - 1 turns each block meets every other once."""
+    last, turn = blocks - 1, F.lit(turn)
+    other = F.pmod(turn - block, last)
+    return F.when(block == last, F.pmod(turn * (blocks / 2).cast("long"), last)).otherwise(F.least(block, other))
+
+
 def _names(open_: DataFrame) -> DataFrame:
     """(exact, template) of the merged ones of different lines (leaf, exact, docs, sig, count); ``count``: those of the leaf."""
-    dealt = lambda df: df.select("leaf", "part", "exact", "docs", "sig", "last").repartition("leaf", "part").sortWithinPartitions("leaf", "part").mapInArrow(_generalised, MERGED)
+    row = ["leaf", "exact", "docs", "sig", "part", "blocks"]
+    dealt = lambda df: df.select("leaf", "group", *row[1:]).repartition("leaf", "group").sortWithinPartitions("leaf", "group").mapInArrow(_generalised, MERGED)
     names = lambda df: df.where("exact != template").select("exact", "template")
+    alone = lambda df: df.select("*", *(F.lit(k).cast("long").alias(c) for c, k in (("group", 0), ("part", 0), ("blocks", 1))))
+
+    def renamed(out: DataFrame | None, found: DataFrame) -> DataFrame:
+        """``out`` and ``found``; what earlier turns named has the name of its template's template."""
+        if out is None:
+            return cut(found)
+        then = found.select(F.col("exact").alias("template"), F.col("template").alias("next"))
+        return cut(out.join(then, "template", "left").select("exact", F.coalesce("next", "template").alias("template")).unionAll(found))
+
     segments = F.floor((1 - ALIKE) * F.expr("length(sig) div 2") + 1e-9) + 1
-    open_, out, turn = open_.withColumn("last", F.lit(None).cast("long")), None, 0
+    out, segment = None, 0
     while True:
-        found = names(dealt(open_.where(f"count <= {LEAF}").withColumn("part", F.lit(0).cast("long"))))
-        large = open_.where(f"count > {LEAF}").withColumn("s", segments).withColumn("k", F.lit(turn) % F.col("s"))
-        # After a turn of all segments, only leaves with fewer templates than before it go on.
-        large = large.where("k > 0 or last is null or count < last").withColumn("last", F.expr("if(k = 0, count, last)")).drop("count")
-        more = not large.isEmpty()
-        if more:
-            a, b = (F.expr(f"int({k} * (length(sig) div 2) div s)") for k in ("k", "(k + 1)"))
-            large = large.withColumn("part", F.xxhash64(F.substring("sig", 2 * a + 1, 2 * (b - a))))
-            sizes = large.groupBy("leaf", "part").agg(F.count("*").alias("size"))
-            small = F.expr(f"pmod(xxhash64(exact, {turn}), (size + {LEAF - 1}) div {LEAF})")
-            large = cut(dealt(large.join(sizes, ["leaf", "part"]).withColumn("part", F.xxhash64("part", small))))
-            found = found.unionAll(names(large))
-        if out is not None:
-            # What earlier turns named has the name of its template's template.
-            then = found.select(F.col("exact").alias("template"), F.col("template").alias("next"))
-            out = cut(out.join(then, "template", "left").select("exact", F.coalesce("next", "template").alias("template")).unionAll(found))
-        if not more:
-            return found if out is None else out
-        out = cut(found) if out is None else out
-        open_ = large.where("exact = template").select("leaf", "exact", "docs", "sig", "last")
+        found = names(dealt(alone(open_.where(f"count <= {LEAF}"))))
+        # A turn for each segment: words never come back to a template, so lines that are alike at the end have met.
+        large = open_.where(f"count > {LEAF}").withColumn("s", segments).where(f"s > {segment}")
+        if large.isEmpty():
+            return found if out is None else renamed(out, found)
+        a, b = (F.expr(f"int({k} * (length(sig) div 2) div s)") for k in (segment, segment + 1))
+        large = large.withColumn("part", F.xxhash64(F.substring("sig", 2 * a + 1, 2 * (b - a))))
+        sizes = large.groupBy("leaf", "part").agg(F.expr(f"if(count(*) <= {LEAF}, 1, 2 * ((count(*) + {LEAF - 1}) div {LEAF}))").cast("long").alias("blocks"))
+        large = cut(large.join(sizes, ["leaf", "part"]).select(*row))
+        ends = sorted({max(1, r.blocks - 1) for r in large.select("blocks").distinct().collect()})
+        done = None
+        # A part of one block is merged at once; in a larger one, each pair of blocks has its turn.
+        for turn in range(ends[-1]):
+            block = F.pmod(F.xxhash64("exact"), "blocks")
+            group = F.when(F.col("blocks") == 1, F.col("part")).otherwise(F.xxhash64("part", _group(block, F.col("blocks"), turn)))
+            merged_ = cut(dealt(large.withColumn("group", group)))
+            found = names(merged_) if found is None else found.unionAll(names(merged_))
+            out, found = renamed(out, found), None
+            large = merged_.where("exact = template").select(*row)
+            if turn + 1 in ends:
+                left = large.where(F.greatest(F.lit(1), F.col("blocks") - 1) == turn + 1)
+                done = cut(left if done is None else done.unionAll(left))
+                large = large.where(F.col("blocks") - 1 > turn + 1)
+        open_ = done.select("leaf", "exact", "docs", "sig")
         open_ = cut(open_.join(open_.groupBy("leaf").agg(F.count("*").alias("count")), "leaf"))
-        turn += 1
+        segment += 1
 
 
 def templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 3, recurs: int = RECURS) -> DataFrame:

@@ -480,6 +480,29 @@ def test_large_leaves_are_generalised(spark, monkeypatch, leaf):
     assert all(got[k].text == docs[k][1].split("\n")[2] for k in range(40, 80))
 
 
+def test_blocks_meet_every_other_once(spark):
+    for blocks in (4, 6, 10):
+        turns = [[r.g for r in spark.range(blocks).select(lines._group(F.col("id"), F.lit(blocks).cast("long"), t).alias("g")).collect()] for t in range(blocks - 1)]
+        met = [(i, j) for g in turns for i in range(blocks) for j in range(i) if g[i] == g[j]]
+        assert sorted(met) == [(i, j) for i in range(blocks) for j in range(i)]
+
+
+def test_pairs_among_unlike_lines_of_one_segment_meet(spark, monkeypatch):
+    monkeypatch.setattr(lines, "LEAF", 6)
+    rng = random.Random(9)
+    # Ten words in three segments: all lines have the first two, and a pair differs in the third.
+    head = "these four words lead"
+    line = lambda x: f"{head} {x[0]} {x[1]} {x[2]} {x[3]} {x[4]} {x[5]}"
+    docs = []
+    for k in range(40):
+        x = [own_line(rng, 1) for _ in range(6)]
+        x[0], x[1] = "same", "middle"
+        y = [*x[:3], own_line(rng, 1), x[4], own_line(rng, 1)]
+        docs += [(k, f"{line(x)}\n{own_line(rng, 20)}"), (100 + k, f"{line(y)}\n{own_line(rng, 20)}")]
+    got = {r.doc_id: r.n_dropped for r in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {**{k: 0 for k in range(40)}, **{100 + k: 1 for k in range(40)}}
+
+
 def test_merged_lines_share_a_template():
     h = lambda s: np.array([zlib.crc32(w.encode()) % 65535 + 1 for w in s.split()], "<u2").tobytes()
     rows = ["user anna logged in from host a today", "user bert logged in from host a today", "user anna logged in from host b today", "the weather was fine on that day here"]
