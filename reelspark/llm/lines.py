@@ -226,7 +226,7 @@ def templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """(doc_id, h, pos, n, template) of each line with words; h: a hash of the text."""
     ready(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).where("text is not null")
-    full = summed(slim.select("text"), _count, PLACES) >= recurs
+    full = summed(slim.select("text"), _count, PLACES, least=recurs)
     lines = cut(slim.mapInArrow(_parsed(full), LINES).where(f"n >= {least_words}"))
     # Only lines with company in their leaf are merged, where together they can recur at all.
     distinct = lines.where("sig is not null").groupBy("leaf", "exact").agg(F.min("sig").alias("sig"), F.count("*").alias("docs"))

@@ -18,12 +18,13 @@ SLICES = 64
 ONE_TASK = 500_000
 
 
-def summed(df: DataFrame, fill: Callable[[pa.RecordBatch, np.ndarray], None], length: int, reduce: np.ufunc = np.add) -> np.ndarray:
+def summed(df: DataFrame, fill: Callable[[pa.RecordBatch, np.ndarray], None], length: int, reduce: np.ufunc = np.add, least: int | None = None) -> np.ndarray:
     """A table of ``length`` 64-bit integers, filled from every row of ``df`` and reduced over tasks.
 
     ``fill(batch, table)`` adds a batch to its task's table. Each task sends its table once, in
     slices; each slice is reduced while it streams by, so no task holds more than its own slices.
-    The driver receives ``length`` numbers, whatever the size of ``df``.
+    The driver receives ``length`` numbers, whatever the size of ``df``; with ``least`` it receives a
+    bit for each, and the table says which numbers are that large.
     """
     per = -(-length // SLICES)
 
@@ -54,12 +55,15 @@ def summed(df: DataFrame, fill: Callable[[pa.RecordBatch, np.ndarray], None], le
                     at = np.frombuffer(row["at"], np.int32)
                     x[at] = reduce(x[at], data)
         for k, x in total.items():
+            if least is not None:
+                x = np.packbits(x >= least)
             yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "data": pa.array([x.tobytes()], pa.binary())})
 
-    out = np.zeros(per * SLICES, np.int64)
+    out = np.zeros(per * SLICES, np.int64) if least is None else np.full(per * SLICES, least <= 0)
     pieces = df.mapInArrow(part, "slice int, at binary, wide boolean, data binary").repartition("slice").mapInArrow(merge, "slice int, data binary")
     for row in pieces.collect():
-        out[row["slice"] * per : (row["slice"] + 1) * per] = np.frombuffer(row["data"], np.int64)
+        data = np.frombuffer(row["data"], np.int64) if least is None else np.unpackbits(np.frombuffer(row["data"], np.uint8), count=per)
+        out[row["slice"] * per : (row["slice"] + 1) * per] = data
     return out[:length]
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reelspark.llm import jaccard, kernels, quality, shared, toxicity, vectors
+from reelspark.llm import jaccard, kernels, lines, quality, shared, toxicity, vectors
 from tests.llm import brute
 
 
@@ -39,6 +39,17 @@ def test_summed_tables(spark):
     got = shared.summed(spark.range(0, 5000, 1, 3), fill, 1000)
     assert (got == 5).all()
     assert not shared.summed(spark.range(0), fill, 1000).any()
+    few = spark.range(1500).where("id != 7")
+    assert (shared.summed(few, fill, 1000, least=2) == (shared.summed(few, fill, 1000) >= 2)).all()
+    assert not shared.summed(few.where("id < 0"), fill, 1000, least=1).any()
+    assert shared.summed(few.where("id < 20"), fill, 1000, least=0).all()
+
+
+def test_the_driver_gets_a_bit_for_each_leaf(spark, documents, monkeypatch):
+    got, collect = [], type(documents).collect
+    monkeypatch.setattr(type(documents), "collect", lambda self: [out := collect(self), got.extend(len(x) for r in out for x in r if isinstance(x, bytes))][0])
+    lines.templates(documents.select("doc_id", "text"))
+    assert 0 < sum(got) <= lines.PLACES // 8 + shared.SLICES  # as 64-bit counts: 32 MB, and several copies of it in the JVM
 
 
 @pytest.mark.parametrize("one_task", [0, 500_000])
