@@ -2,7 +2,8 @@
 
 A document is the set of its distinct word shingles. Two sets link when their Jaccard similarity
 reaches the threshold. For a set of n tokens in any fixed global order, a partner must share at
-least ``l`` of the first ``n - ceil(t n) + l`` tokens, for any l up to ``LEAST``. The orders used here
+least ``l`` of the first ``n - ceil(t n) + l`` tokens, for any l; here l grows with the set, since a
+long one shares some tokens by chance with very many others. The orders used here
 put rare tokens first (by a table of counts over all documents) and break ties by different hashes:
 the first order is indexed, the others are filters on the pairs that it gives, before the sets
 themselves are compared.
@@ -47,8 +48,8 @@ from reelspark.llm.shared import Shelf, components, forest, small_side, summed
 #: Places of the table of token counts (a task sends it once: 4 MB), and bits of the candidate filter.
 COUNTS = 1 << 20
 BITS = 1 << 24
-#: Tokens that two prefixes must share; smaller sets need fewer.
-LEAST = 8
+#: Tokens that two prefixes must share: so many and so many hundredths of a set; small sets need fewer.
+LEAST, LEAST_SHARE = 8, 10
 #: Classes of a token, or of a part of them alike in size, up to which their pairs are listed.
 SHORT = 16
 #: A token is common, and not gathered in one task, if its place counts this often the mean and this much more.
@@ -86,8 +87,15 @@ def levels(counts: np.ndarray) -> np.ndarray:
 
 
 def shared_tokens(n: int, percent: int) -> int:
-    """How many tokens a set of n must share with a partner in their prefixes."""
-    return min(LEAST, -(-percent * n // 100))
+    """How many tokens a set of n must share with any partner in their prefixes: what its smallest partner's prefix is long enough for."""
+    share = -(-percent * n // 100)
+    return min(LEAST + LEAST_SHARE * share // 100, share)
+
+
+def prefix_length(n: int, percent: int) -> int:
+    """Tokens in the prefix of a set of n."""
+    share = -(-percent * n // 100)
+    return n - share + min(LEAST + LEAST_SHARE * n // 100, share)
 
 
 def prefix(tokens: np.ndarray, level: np.ndarray, order: int, percent: int) -> np.ndarray:
@@ -95,7 +103,7 @@ def prefix(tokens: np.ndarray, level: np.ndarray, order: int, percent: int) -> n
     n = len(tokens)
     if not n:
         return tokens
-    keep = n - -(-percent * n // 100) + shared_tokens(n, percent)
+    keep = prefix_length(n, percent)
     key = (level[(tokens % np.uint64(COUNTS)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (kernels.mix(tokens, 16 + order) >> np.uint64(6))
     return tokens[np.argpartition(key, keep - 1)[:keep]] if keep < n else tokens
 
@@ -313,7 +321,8 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     # One class for each set: its digest's first half names it, its smallest document stands for it.
     classes = shelf.keep(told.where("n > 0 and doc_id is not null").groupBy("a").agg(F.min_by(F.struct("doc_id", "n", "b"), "doc_id").alias("x")).select("a", "x.doc_id", "x.n", "x.b"))
     share = F.ceil(percent * F.col("n") / 100)
-    need = F.least(F.lit(LEAST), share)
+    most = lambda n: F.least(LEAST + F.floor(LEAST_SHARE * n / 100), share)
+    need = most(share)
 
     # The index: prefix tokens of two classes or more, of the classes that have enough of them.
     rare = told.select(F.explode("rare").alias("token"), "a").repartition("token").sortWithinPartitions("token", "a").mapInArrow(_in_company, "token long, a long")
@@ -323,7 +332,7 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     often = some.groupBy("token").agg(F.count("*").alias("classes")).where("classes > 1")
     shared = shelf.keep(some.join(often, "token"))
     of = shared.groupBy("a").agg(F.first("n").alias("n"), F.count("*").alias("all"), F.count_if(F.col("classes") > SHORT).alias("hot"), F.sum(F.log2("classes")).alias("weight"))
-    of = of.where(F.col("all") >= need).select("a", "hot", (F.col("weight") / (F.col("n") - share + need)).alias("weight"))
+    of = of.where(F.col("all") >= need).select("a", "hot", (F.col("weight") / (F.col("n") - share + most(F.col("n")))).alias("weight"))
     index = shelf.keep(shared.join(of, "a"))
     shelf.drop(rows, some, shared)
 

@@ -168,6 +168,17 @@ def expected_vectors(rows, threshold):
     return dict(zip(ids, zip(hit.sum(1).tolist(), brute.groups(ids, lambda i, j: hit[i, j]))))
 
 
+@pytest.mark.parametrize("percent", [50, 80, 85, 100])
+def test_prefixes_are_long_enough_for_what_they_must_share(percent):
+    length, least = jaccard.prefix_length, jaccard.shared_tokens
+    for n in range(1, 400):
+        assert length(n, percent) <= n
+        for m in range(-(-percent * n // 100), n + 1):
+            both = -(-percent * (n + m) // (100 + percent))
+            sure = min(length(n, percent) - n + both, length(m, percent) - m + both, both)
+            assert sure >= max(least(n, percent), least(m, percent))
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(12, 8))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from reelspark.llm import lines, quality, queries, shared
+from reelspark.llm import jaccard, lines, quality, queries, shared
 from tests.llm import brute
 from tests.llm.test_text_operators import check_packed
 
@@ -86,6 +86,27 @@ def test_jaccard_stage_of_shared_sentences(spark, sf, monkeypatch):
     assert sum(sent) < 12 * sum(len(r[1]) for r in rows)  # measured: 9 times; 24 times when each class met every hub of its tokens
 
 
+def test_jaccard_stage_of_passages_shared_by_chance(spark, sf, monkeypatch):
+    # An eighth of each text's shingles lie in many others. The table of a very large corpus tells no rare ones apart.
+    monkeypatch.setattr(jaccard, "levels", lambda counts: np.zeros(len(counts), np.uint8))
+    sent, keep = [], shared.Shelf.keep
+
+    def kept(self, df):
+        out = keep(self, df)
+        sent.extend(out.agg(F.sum(F.length(c))).first()[0] or 0 for c in ("diff", "tokens") if dict(df.dtypes).get(c) == "binary")
+        return out
+
+    monkeypatch.setattr(shared.Shelf, "keep", kept)
+    rng = np.random.default_rng(9)
+    text = lambda k: " ".join(f"p{p}a p{p}b p{p}c p{p}d p{p}e p{p}f " + " ".join(f"w{k}x{j}y{i}" for i in range(9)) for j, p in enumerate(rng.choice(300, 60, replace=False)))
+    texts = [text(k) for k in range(300)]
+    rows = [(k, t, "en", "s", None) for k, t in enumerate(texts + [f"{t} and more" for t in texts[:5]])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id for r in corpus_pipeline.one_of_each_group(spark, docs, sf).collect()}
+    assert got == set(range(300))
+    assert 0 < sum(sent) / sum(map(len, texts)) < 0.1  # the ten near copies alone; when eight shared tokens were enough, all sets and their differences
+
+
 def test_mixing_stage(stages):
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     before, after = {}, {}
