@@ -83,7 +83,9 @@ def tag_dictionary(texts: DataFrame, column: str = "value") -> DataFrame:
     """
     lines = F.filter(F.split(column, r"\r?\n"), lambda x: F.trim(x) != "")
     rest = [c for c in texts.columns if c != column]
-    rows = texts.select(*rest, F.split(lines[0], ",").alias("head"), F.posexplode(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))).alias("idx", "line"))
+    # Split before the rows are made: beside posexplode, Spark would work the head out from the whole text again for each line.
+    parts = texts.select(*rest, lines.alias("lines")).select(*rest, F.split(F.get("lines", F.lit(0)), ",").alias("head"), F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0))).alias("lines"))
+    rows = parts.select(*rest, "head", F.posexplode("lines").alias("idx", "line"))
     rows = rows.withColumn("cells", F.expr("from_csv(line, 'a string, b string, c string, d string', map('mode', 'PERMISSIVE'))"))
     cell = lambda name: F.get(F.array("cells.a", "cells.b", "cells.c", "cells.d"), (F.array_position("head", name) - 1).cast("int"))
     value = lambda name: F.when(F.array_position("head", name) > 0, cell(name))

@@ -243,6 +243,15 @@ def test_file_scan_and_dictionary(spark, tmp_path):
     assert (tmp_path / "out/s.txt").read_text() == "t é\n"
 
 
+def test_dictionary_text_is_read_once(spark):
+    """Nothing above the lines' rows may hold or split the whole text again: with 48,000 lines a text that is quadratic."""
+    texts = spark.createDataFrame([("a", "id,name,category\r\n1,x,9\r\n2,y,\n"), ("b", "name\nz"), ("c", "")], "dictionary string, value string")
+    got = scans.tag_dictionary(texts)
+    above = got._jdf.queryExecution().optimizedPlan().toString().split("Generate ")[0]
+    assert "split(" not in above and "value#" not in above
+    assert sorted(map(tuple, got.collect())) == [("a", 0, "x", 9), ("a", 1, "y", 0), ("b", 0, "z", 0)]
+
+
 def test_sidecar_paths(spark):
     df = spark.createDataFrame([("a/b.tar.gz",), ("a.d/b",), (".hidden",), ("x/.hidden",), ("v.mp4",)], "p string")
     assert [r[0] for r in df.select(scans.sidecar_path(F.col("p"))).collect()] == ["a/b.tar.txt", "a.d/b.txt", ".hidden.txt", "x/.hidden.txt", "v.txt"]
