@@ -41,16 +41,85 @@ def _stepped(start: pd.Series, end: pd.Series, step: pd.Series) -> pd.Series:
     return pd.Series([one(*x) for x in zip(start, end, step, strict=True)])
 
 
+def _span(start_s: Column, end_s: Column, total: Column, video_fps: Column, fps: Column) -> tuple[Column, Column, Column]:
+    """Start, end and step of the positions of ``resampled``."""
+    rate = F.when(video_fps > 0, video_fps.cast("double")).otherwise(F.lit(25.0))
+    start = (start_s * rate).cast("int").cast("double")
+    end = F.when(end_s > start_s, F.least((end_s * rate).cast("int"), total.cast("int"))).otherwise(total.cast("int")).cast("double")
+    return start, end, F.when(fps > 0, F.greatest(F.lit(1.0), rate / fps)).otherwise(rate)
+
+
 def resampled(start_s: Column, end_s: Column, total: Column, video_fps: Column, fps: Column) -> Column:
     """Frame numbers sampled ``fps`` times a second between two times of a video of ``total`` frames.
 
     An end that is not after the start means the end of the video; a video without a rate has 25
     frames a second; a rate of 0 samples once a second; a rate above the video's takes each frame once.
     """
-    rate = F.when(video_fps > 0, video_fps.cast("double")).otherwise(F.lit(25.0))
-    start = (start_s * rate).cast("int").cast("double")
-    end = F.when(end_s > start_s, F.least((end_s * rate).cast("int"), total.cast("int"))).otherwise(total.cast("int")).cast("double")
-    return _stepped(start, end, F.when(fps > 0, F.greatest(F.lit(1.0), rate / fps)).otherwise(rate))
+    return _stepped(*_span(start_s, end_s, total, video_fps, fps))
+
+
+def floor_sums(n: np.ndarray, m: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of (a * i + b) // m over i < n, by Euclid's steps; a, b and a * n + b stay below 2^62, m is positive."""
+    n, m, a, b = (x.astype(np.int64).copy() for x in (n, m, a, b))
+    total, open_ = np.zeros(len(n), np.int64), np.arange(len(n))
+    while len(open_):
+        half = np.where(n % 2 == 0, (n // 2) * (n - 1), n * ((n - 1) // 2))
+        total[open_] += half * (a // m) + n * (b // m)
+        a, b = a % m, b % m
+        top = a * n + b
+        on = top >= m
+        open_, n, m, a, b = open_[on], (top // m)[on], a[on], m[on], (top % m)[on]
+    return total
+
+
+def _stepped_sums(start: np.ndarray, end: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Count, last one and sum of the whole parts of start, start + step, ... below end, without the positions themselves.
+
+    The sums are those of doubles added up step by step. Between two powers of two doubles are evenly
+    spaced, so there each rounded step is the same (from the second on, where a step ends halfway
+    between two doubles); such a run is counted at once, as whole multiples of the spacing. ``start`` is
+    0 or more, ``step`` 1 or more, ``end`` below 2^31.
+    """
+    count, last, total = np.zeros(len(start), np.int64), np.zeros(len(start)), np.zeros(len(start), np.int64)
+    at, runs = np.flatnonzero(start < end), []
+    t, e, d = start[at], end[at], step[at]
+    while len(at):
+        count[at] += 1
+        last[at] = t
+        total[at] += t.astype(np.int64)
+        before, t = t, t + d
+        on = t < e
+        at, before, t, e, d = at[on], before[on], t[on], e[on], d[on]
+        low = np.ldexp(1.0, np.frexp(t)[1] - 1)
+        again = t + d
+        even = (before >= low) & (again < np.minimum(e, 2 * low))
+        if even.any():
+            unit = low[even] * 2.0**-52
+            first, gap = (t[even] / unit).astype(np.int64), ((again - t)[even] / unit).astype(np.int64)
+            bound_ = (np.minimum(e, 2 * low)[even] / unit).astype(np.int64)
+            n = (bound_ - first - 1) // gap  # all of the run but its last, with which the loop goes on
+            runs.append((at[even], n, (1 / unit).astype(np.int64), gap, first))
+            t[even] = (first + n * gap) * unit
+    if runs:
+        rows, n, m, gap, first = (np.concatenate(x) for x in zip(*runs, strict=True))
+        np.add.at(count, rows, n)
+        np.add.at(total, rows, floor_sums(n, m, gap, first))
+    return count, last, total
+
+
+@F.pandas_udf(T.StructType([T.StructField("n", T.LongType()), T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType()), T.StructField("total", T.LongType())]))
+def _stepped_totals(start: pd.Series, end: pd.Series, step: pd.Series) -> pd.DataFrame:
+    s, e, d = (x.to_numpy(np.float64, na_value=np.nan) for x in (start, end, step))
+    known = ~(np.isnan(s) | np.isnan(e) | np.isnan(d))
+    count, last, total = _stepped_sums(*(np.where(known, x, 0.0) for x in (s, e, d)))
+    some = count > 0
+    number = lambda x, there, kind: pd.Series(np.where(there, x, 0).astype(np.int64)).astype(kind).where(there, pd.NA)
+    return pd.DataFrame({"n": number(count, known, "Int64"), "first": number(s, some, "Int32"), "last": number(last, some, "Int32"), "total": number(total, known, "Int64")})
+
+
+def resampled_totals(start_s: Column, end_s: Column, total: Column, video_fps: Column, fps: Column) -> Column:
+    """(n, first, last, total) of the frame numbers of ``resampled``: as many steps as the video's length has binary digits, and no list."""
+    return _stepped_totals(*_span(start_s, end_s, total, video_fps, fps))
 
 
 def even_choice(n: Column, k: Column) -> Column:

@@ -289,6 +289,27 @@ def test_resampled_sums_step_by_step(spark):
     assert [r.f for r in got] == [plain(*c) for c in cases]
 
 
+def test_totals_of_resampled_frames_without_a_list(spark):
+    rng = np.random.default_rng(5)
+    start, end = rng.integers(0, 300, 400).astype(float), np.floor(np.exp(rng.uniform(0, 11, 400)))
+    # Steps that end halfway between two doubles, in one power of two or the next, too.
+    step = np.where(np.arange(400) % 2 == 0, 1 + rng.integers(0, 2**52, 400) * 2.0**-52, 25 / (rng.integers(1, 20, 400) * 1.25)).clip(1)
+    for k, got in enumerate(zip(*segment._stepped_sums(start, end, step), strict=True)):
+        t, n, last, total = start[k], 0, 0.0, 0
+        while t < end[k]:
+            n, last, total, t = n + 1, t, total + int(t), t + step[k]
+        assert got == (n, last, total)
+    # A list of the frames of these videos would take gigabytes.
+    most = 2**31 - 1
+    df = spark.createDataFrame([(0, 0.0, 0.0, most, 25.0, 25.0), (1, 0.0, 0.0, most, 30.0, 20.0), (2, 9.0, 10.0, 5, 30.0, 1.0), (3, None, 1.0, 5, 30.0, 1.0)], "k int, s double, e double, n int, rate double, fps double")
+    got = df.select("k", segment.resampled_totals(*(F.col(c) for c in ("s", "e", "n", "rate", "fps"))).alias("f")).orderBy("k").select("f.*").collect()
+    steps = -(-most * 2 // 3)
+    pairs = steps // 2
+    assert tuple(got[0]) == (most, 0, most - 1, most * (most - 1) // 2)
+    assert tuple(got[1]) == (steps, 0, (steps - 1) * 3 // 2, 3 * pairs * (pairs - 1) + pairs + (steps % 2) * 3 * pairs)
+    assert tuple(got[2]) == (0, None, None, 0) and tuple(got[3]) == (None, None, None, None)
+
+
 def test_large_gallery_without_nested_loop(spark):
     rng = np.random.default_rng(1)
     names = spark.createDataFrame([(f"l{k}", rng.normal(size=4).tolist(), None, k) for k in range(50)], "label string, enc array<double>, threshold double, ord int")
