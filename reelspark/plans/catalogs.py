@@ -75,9 +75,8 @@ def a12_sidecars(spark, d):
     folder = f"{spark.sparkContext.getCheckpointDir()}/sidecars-{uuid.uuid4()}"
     texts = rows(spark, d, "select doc_id, text from {documents}").join(rows(spark, d, _PATHS).withColumnRenamed("row_ord", "doc_id"), "doc_id")
     made = scans.write_sidecars(texts.select(F.concat(F.lit(folder + "/"), scans.sidecar_path(F.col("path"))).alias("path"), "text"))
-    made = cut(made.groupBy("status").count())
-    back = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True).select(F.md5("value").alias("md5"), F.regexp_extract(F.col("_metadata.file_path"), r"sidecars-[^/]*/(.*)$", 1).alias("sidecar"))
-    return back.join(F.broadcast(made), how="cross").select("sidecar", "md5", "status")
+    back = scans.read_sidecars(cut(made))
+    return back.select(F.substring(F.col("path"), F.lit(len(folder) + 2), F.length("path")).alias("sidecar"), F.md5("text").alias("md5"), "status")
 
 
 def a13_media_paths(spark, d):

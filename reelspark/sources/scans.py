@@ -159,27 +159,35 @@ def sidecar_path(path: Column, suffix_: str = ".txt") -> Column:
     return F.concat(F.regexp_replace(path, r"(?<=[^/])\.[^./]+$", ""), F.lit(suffix_))
 
 
+def _located(path: str):
+    """The file system of a path, and the path in it. Local names are taken as they are, other schemes as URIs by Arrow's file systems."""
+    from pyarrow import fs
+
+    if path.startswith("file:") or ":" not in path.split("/")[0]:
+        return fs.LocalFileSystem(), re.sub("^file:/*", "/", path)
+    return fs.FileSystem.from_uri(path)
+
+
 def write_sidecars(texts: DataFrame, overwrite: bool = True) -> DataFrame:
     """Write each (path, text) row's text to the file at its path, through the file system of the path; returns (path, status).
 
     Tasks write their own rows, so nothing is gathered; a file that is there stays unless ``overwrite``.
     A text is written to a name of its attempt first and then renamed, so a task that is run again
-    leaves whole files. Paths with a scheme go through Arrow's file systems.
+    leaves whole files. That name begins with a dot, so no reader takes what a killed attempt has left for a text.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        local = re.compile("^file:/*")
-
         for batch in batches:
             status = []
             for path, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                store, at = fs.FileSystem.from_uri(local.sub("file:///", path) if ":" in path.split("/")[0] else "file://" + path)
+                store, at = _located(path)
                 if not overwrite and store.get_file_info(at).type != fs.FileType.NotFound:
                     status.append("skipped_existing")
                     continue
-                store.create_dir(at.rpartition("/")[0], recursive=True)
-                part = f"{at}.{uuid.uuid4().hex}"
+                folder, _, name = at.rpartition("/")
+                store.create_dir(folder, recursive=True)
+                part = f"{folder}/.{name}.{uuid.uuid4().hex}"
                 with store.open_output_stream(part) as out:
                     out.write((text or "").encode())
                 store.move(part, at)
@@ -187,3 +195,29 @@ def write_sidecars(texts: DataFrame, overwrite: bool = True) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"path": batch.column(0), "status": pa.array(status, pa.string())})
 
     return texts.select("path", "text").mapInArrow(run, "path string, status string")
+
+
+def read_sidecars(paths: DataFrame, most: int = 8 << 20) -> DataFrame:
+    """Adds the text of the file at each row's path, in batches of about ``most`` bytes.
+
+    Only the named files are read, so folders need not be listed; empty ones count, and any name is taken as it is.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StringType, StructType
+
+    schema = StructType([*paths.schema.fields]).add("text", StringType())
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            begun, size, found = 0, 0, []
+            for k, path in enumerate(batch.column("path").to_pylist()):
+                store, at = _located(path)
+                with store.open_input_stream(at) as file:
+                    found.append(file.read().decode())
+                size += len(found[-1])
+                if size >= most or k + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([*batch.slice(begun, len(found)).columns, pa.array(found, pa.string())], schema=arrow)
+                    begun, size, found = k + 1, 0, []
+
+    return paths.mapInArrow(run, schema)

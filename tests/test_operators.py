@@ -252,6 +252,23 @@ def test_dictionary_text_is_read_once(spark):
     assert sorted(map(tuple, got.collect())) == [("a", 0, "x", 9), ("a", 1, "y", 0), ("b", 0, "z", 0)]
 
 
+def test_sidecars_are_read_by_their_names(spark, tmp_path):
+    """Empty texts, odd names and more bytes than a batch come back; what a stopped attempt left is no sidecar."""
+    names = ["a/x.txt", "a/_y.txt", "a b/%20 é.txt", "a/.hidden.txt", "empty.txt"]
+    texts = {str(tmp_path / n): "" if n == "empty.txt" else n * 40 for n in names}
+    made = scans.write_sidecars(spark.createDataFrame(list(texts.items()), "path string, text string").coalesce(1))
+    made = spark.createDataFrame(made.collect(), made.schema).coalesce(1)
+    back = scans.read_sidecars(made, most=300).collect()
+    assert {r.path: r.text for r in back} == texts and len(back) == 5 and {r.status for r in back} == {"created"}
+
+    (tmp_path / "left/z.txt/full").mkdir(parents=True)  # the last step fails, since a folder has the name
+    left = spark.createDataFrame([(str(tmp_path / "left/z.txt"), "half")], "path string, text string")
+    with pytest.raises(Exception, match="z.txt"):
+        scans.write_sidecars(left).collect()
+    assert sorted(x.name[0] for x in (tmp_path / "left").iterdir()) == [".", "z"]
+    assert spark.read.option("recursiveFileLookup", "true").text(str(tmp_path / "left"), wholetext=True).count() == 0
+
+
 def test_sidecar_paths(spark):
     df = spark.createDataFrame([("a/b.tar.gz",), ("a.d/b",), (".hidden",), ("x/.hidden",), ("v.mp4",)], "p string")
     assert [r[0] for r in df.select(scans.sidecar_path(F.col("p"))).collect()] == ["a/b.tar.txt", "a.d/b.txt", ".hidden.txt", "x/.hidden.txt", "v.txt"]
