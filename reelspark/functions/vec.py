@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,10 +42,15 @@ def unit(a: Column) -> Column:
 
 
 def five_points(points: Column) -> Column:
-    """A 5 x 2 array of finite numbers; 2 x 5 is transposed, anything else is null."""
+    """A 5 x 2 array of finite numbers; 2 x 5 is transposed, anything else is null.
+
+    Without functions of elements, which Spark interprets; ``points`` is named often, so it should be a column of its own.
+    """
     p = points.cast("array<array<double>>")
-    tall = (F.size(p) == 5) & F.forall(p, lambda r: F.size(r) == 2)
-    wide = (F.size(p) == 2) & F.forall(p, lambda r: F.size(r) == 5)
-    turned = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.array(p[0][k], p[1][k]))
-    shaped = F.when(tall, p).when(wide, turned)
-    return F.when(F.forall(F.flatten(shaped), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), shaped)
+    row = lambda k: F.get(p, F.lit(k))
+    shape = lambda n, m: functools.reduce(lambda a, k: a & (F.size(row(k)) == m), range(n), F.size(p) == n)
+    turned = F.array(*(F.array(*(F.get(row(j), F.lit(k)) for j in range(2))) for k in range(5)))
+    # NaN is the largest number; where there are nulls, array_contains is null unless it finds its value.
+    inf = float("inf")
+    finite = (F.array_max(F.flatten(p)) < inf) & ~F.array_contains(F.flatten(p), F.lit(-inf))
+    return F.when(finite, F.when(shape(5, 2), p).when(shape(2, 5), turned))

@@ -120,13 +120,17 @@ def d10_top_faces(spark, d):
 
 def d11_landmarks(spark, d):
     """Five points given as 5 x 2 or 2 x 5; others are no landmarks."""
-    p = lambda k: F.array((F.col("part") * (k + 3) % 100).cast("double"), (F.col("supp") * (k + 5) % 100).cast("double"))
+    # Numbers, points given and points taken are columns of their own, so each is worked out once and in code small enough to be compiled.
+    numbers = {f"{c[0]}{k}": (F.col(c) * (k + by) % 100).cast("double") for c, by in (("part", 3), ("supp", 5)) for k in range(5)}
+    p = lambda k: F.array(f"p{k}", f"s{k}")
     tall = F.array(*(p(k) for k in range(5)))
-    wide = F.array(F.array(*((F.col("part") * (k + 3) % 100).cast("double") for k in range(5))), F.array(*((F.col("supp") * (k + 5) % 100).cast("double") for k in range(5))))
+    wide = F.array(F.array(*(f"p{k}" for k in range(5))), F.array(*(f"s{k}" for k in range(5))))
     nan = F.array(*(p(k) for k in range(4)), F.array(F.lit(float("nan")), F.lit(0.0)))
-    given = F.when(F.col("det_ord") % 2 == 1, nan).when(F.col("frame_idx") % 3 == 0, tall).when(F.col("frame_idx") % 3 == 1, wide).otherwise(F.slice(tall, 1, 4))
-    got = vec.five_points(given)
-    return rows(spark, d, BOXES).select("video", "frame_idx", "det_ord", got.isNotNull().alias("valid"), F.get(F.get(got, F.lit(4)), F.lit(1)).alias("last_y"))
+    given = F.when(F.col("det_ord") % 2 == 1, nan).when(F.col("frame_idx") % 3 == 0, tall).when(F.col("frame_idx") % 3 == 1, wide).otherwise(F.array(*(p(k) for k in range(4))))
+    key = ["video", "frame_idx", "det_ord"]
+    made = rows(spark, d, BOXES).select(*key, *(x.alias(n) for n, x in numbers.items())).select(*key, given.alias("given"))
+    got = made.select(*key, vec.five_points(F.col("given")).alias("got"))
+    return got.select(*key, F.col("got").isNotNull().alias("valid"), F.get(F.get("got", F.lit(4)), F.lit(1)).alias("last_y"))
 
 
 def b14_without_eyewear(spark, d):

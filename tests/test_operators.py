@@ -269,6 +269,17 @@ def test_sidecars_are_read_by_their_names(spark, tmp_path):
     assert spark.read.option("recursiveFileLookup", "true").text(str(tmp_path / "left"), wholetext=True).count() == 0
 
 
+def test_five_points_is_compiled(spark):
+    inf, nan = float("inf"), float("nan")
+    tall = [[float(k), float(k + 10)] for k in range(5)]
+    wide = [[float(k) for k in range(5)], [float(k + 10) for k in range(5)]]
+    bad = [None, [], tall[:4], [*tall[:4], [nan, 0.0]], [*tall[:4], [0.0, -inf]], [*tall[:4], [inf, 0.0]], [*tall[:4], [None, 0.0]], [*tall[:4], None], [*tall[:4], [1.0]], [*tall[:3], [1.0], [1.0, 2.0, 3.0]], [wide[0], wide[1][:4]], [tall[0] * 5]]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate([tall, wide, *bad])], "k int, p array<array<double>>")
+    got = df.select("k", vec.five_points(F.col("p")).alias("f"))
+    assert [r.f for r in got.orderBy("k").collect()] == [tall, tall] + [None] * len(bad)
+    assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_sidecar_paths(spark):
     df = spark.createDataFrame([("a/b.tar.gz",), ("a.d/b",), (".hidden",), ("x/.hidden",), ("v.mp4",)], "p string")
     assert [r[0] for r in df.select(scans.sidecar_path(F.col("p"))).collect()] == ["a/b.tar.txt", "a.d/b.txt", ".hidden.txt", "x/.hidden.txt", "v.txt"]
