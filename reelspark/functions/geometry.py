@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -98,6 +99,27 @@ def frontality(landmarks: Column) -> Column:
     return bound(landmarks, of)
 
 
+def eye_ratios(eyes: np.ndarray) -> np.ndarray:
+    """``eye_aspect_ratio`` of many eyes at once, (n, 6, 2)."""
+    gap = lambda a, b: np.sqrt(((eyes[:, a] - eyes[:, b]) ** 2).sum(-1))
+    width = gap(0, 3)
+    there = width >= 1e-6
+    return np.where(there, (gap(1, 5) + gap(2, 4)) / np.where(there, 2 * width, 1.0), 0.0)
+
+
+def frontalities(nose: np.ndarray, left: np.ndarray, right: np.ndarray, chin: np.ndarray) -> np.ndarray:
+    """``frontality`` of many faces at once; each group of landmarks is (n, its points, 2), with a point at least."""
+    tip, low = (x[:, x.shape[1] // 2] for x in (nose, chin))
+    left, right = left.mean(1), right.mean(1)
+    a, b = (np.sqrt(((tip - x) ** 2).sum(-1)) for x in (left, right))
+    middle = (left[:, 1] + right[:, 1]) / 2
+    far, near, height, drop = np.maximum(a, b), np.minimum(a, b), low[:, 1] - middle, tip[:, 1] - middle
+    there = (far >= 1e-6) & (height >= 1e-6)
+    far, height = np.where(there, far, 1.0), np.where(there, height, 1.0)
+    score = near / far * 0.7 + np.maximum(1 - np.minimum(np.abs(drop / height - 0.4) * 3, 1.0), 0.0) * 0.3
+    return np.where(there, np.clip(score, 0.0, 1.0), 0.0)
+
+
 def sharpness(laplacian_variance: Column) -> Column:
     return clip(laplacian_variance / 500, 0, 1)
 
@@ -121,12 +143,17 @@ def reference_score(faces: Column, fill: Column, sharp: Column, light: Column, l
 
     def full(marks: Column) -> Column:
         ear = (eye_aspect_ratio(F.coalesce(marks["left_eye"], none)) + eye_aspect_ratio(F.coalesce(marks["right_eye"], none))) / 2
-        eyes = clip((ear - 0.15) / 0.15, 0, 1)
-        return clip(frontality(marks) * 0.30 + eyes * 0.20 + fill * 0.15 + sharp * 0.20 + light * 0.15, 0, 1)
+        return marked_score(frontality(marks), ear, fill, sharp, light)
 
     return F.when(faces != 1, F.lit(0.0)).when(landmarks.isNull(), plain).otherwise(bound(landmarks, full))
 
 
+def marked_score(frontal: Column, ear: Column, fill: Column, sharp: Column, light: Column) -> Column:
+    """The composite quality of a face with landmarks."""
+    eyes = clip((ear - 0.15) / 0.15, 0, 1)
+    return clip(frontal * 0.30 + eyes * 0.20 + fill * 0.15 + sharp * 0.20 + light * 0.15, 0, 1)
+
+
 def wears_glasses(vertical: Column, canny: Column, bridge: Column) -> Column:
     """Whether the edges around the eyes and on the bridge of the nose look like a pair of glasses."""
     return ((vertical > 0.28) & (canny > 0.23)) | ((bridge > 0.33) & (canny > 0.20))

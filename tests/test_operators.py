@@ -280,6 +280,27 @@ def test_five_points_is_compiled(spark):
     assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_measures_of_landmarks_over_columns(spark):
+    rng = np.random.default_rng(2)
+    sizes = {"nose_tip": 5, "left_eye": 6, "right_eye": 6, "chin": 9}
+    marks = {k: rng.integers(0, 60, (40, n, 2)) + (140 if k == "chin" else 0) for k, n in sizes.items()}
+    marks["left_eye"][0] = marks["right_eye"][0] = marks["nose_tip"][0] = marks["chin"][1] = 7
+    rows = [(k, {name: [tuple(map(int, p)) for p in x[k]] for name, x in marks.items()}) for k in range(40)]
+    df = spark.createDataFrame(rows, "k int, m map<string, array<struct<x:int,y:int>>>")
+    want = df.orderBy("k").select(geometry.frontality(F.col("m")), geometry.eye_aspect_ratio(F.col("m")["left_eye"])).collect()
+    marks = {k: x.astype(float) for k, x in marks.items()}
+    assert geometry.frontalities(*(marks[k] for k in ("nose_tip", "left_eye", "right_eye", "chin"))) == pytest.approx([r[0] for r in want], abs=1e-12)
+    assert geometry.eye_ratios(marks["left_eye"]) == pytest.approx([r[1] for r in want], abs=1e-12)
+    assert want[0] == (0.0, 0.0)
+
+
+@pytest.mark.parametrize("name", ["d11_landmarks", "g1_eye_aspect_ratio", "g2_frontality", "g6_reference_score", "g7_references", "k10_selected_references"])
+def test_points_of_each_row_are_not_interpreted(spark, sf, name):
+    import __spark_entry__
+
+    assert "lambda" not in __spark_entry__.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_sidecar_paths(spark):
     df = spark.createDataFrame([("a/b.tar.gz",), ("a.d/b",), (".hidden",), ("x/.hidden",), ("v.mp4",)], "p string")
     assert [r[0] for r in df.select(scans.sidecar_path(F.col("p"))).collect()] == ["a/b.tar.txt", "a.d/b.txt", ".hidden.txt", "x/.hidden.txt", "v.txt"]
