@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reelspark.operators.fold import Fold, ordered_fold, run_fold
+from reelspark.operators.fold import run_fold
+from reelspark.session import ready
 
 
 def overlap(a: list[float], b: list[float]) -> float:
@@ -59,34 +61,66 @@ class Tracker:
         return active
 
 
-class _Track(Fold):
-    """Rows of a frame are gathered until the next frame begins; frames without boxes count as empty ones."""
+class _Frames:
+    """The same tracks over columns of many videos' rows, a frame at a time; frames without boxes count as empty ones.
 
-    def __init__(self, threshold: float, max_age: int, key: str, recognise: Callable | None):
-        self.tracker, self.key, self.frame, self.boxes = Tracker(threshold, max_age, recognise), key, None, []
-        self.scene = None
-
-    def _flush(self) -> list[dict]:
-        rows = self.tracker.update(self.boxes)
-        return [{self.key: r[self.key], "frame_idx": r["frame_idx"], "det_ord": r["det_ord"], "track_id": r["track"], "label": r["label"], "sim": r["sim"]} for r in rows]
-
-    def step(self, row: dict) -> list[dict]:
-        out = []
-        if self.frame is None:
-            self.frame = row["frame_idx"]
-        while self.frame < row["frame_idx"]:
-            out += self._flush()
-            self.boxes, self.frame = [], self.frame + 1
-            if not self.tracker.tracks:  # nothing left to age
-                self.frame = row["frame_idx"]
-        if row.get("scene_id") != self.scene:
-            self.scene = row.get("scene_id")
-            self.tracker.reset()
-        self.boxes.append(row)
-        return out
+    A track is [x1, y1, x2, y2, area, number, label, similarity, age].
+    """
 
-    def end(self) -> list[dict]:
-        return self._flush()
+    def __init__(self, threshold: float, max_age: int, recognise: Callable | None):
+        self.threshold, self.max_age, self.recognise = threshold, max_age, recognise
+        self.tracks: list[list] = []
+        self.next, self.key, self.frame, self.scene = 0, None, None, None
+
+    def run(self, keys: list, frames: list, scenes: list | None, boxes: list[list[float]], ends: list[int], row: Callable[[int], dict] | None) -> tuple[list[int], list[list]]:
+        """Places and tracks (number, label, similarity) of the rows; ``ends``: where each frame's rows end."""
+        places, out, start = [], [], 0
+        max_age, recognise = self.max_age, self.recognise
+        for end in ends:
+            key, frame, tracks = keys[start], frames[start], self.tracks
+            if self.frame is None or key != self.key:
+                tracks, self.next, self.scene = [], 0, None
+            elif (missed := frame - self.frame - 1) > 0:
+                for t in tracks:
+                    t[8] += missed
+                tracks = [t for t in tracks if t[8] <= max_age]
+            self.key, self.frame = key, frame
+            if scenes is not None:
+                for k in range(start, end):
+                    if scenes[k] != self.scene:
+                        self.scene, tracks = scenes[k], []
+            kept, free = [], list(range(start, end))
+            for t in tracks:
+                a0, a1, a2, a3, area = t[:5]
+                best, at = self.threshold, -1
+                for k in free:
+                    b0, b1, b2, b3, other = boxes[k]
+                    w = (a2 if a2 < b2 else b2) - (a0 if a0 > b0 else b0)
+                    h = (a3 if a3 < b3 else b3) - (a1 if a1 > b1 else b1)
+                    both = w * h if w > 0 and h > 0 else 0.0
+                    union = area + other - both
+                    if union > 0 and both / union > best or union <= 0 and 0.0 > best:
+                        best, at = both / union if union > 0 else 0.0, k
+                if at >= 0:
+                    free.remove(at)
+                    places.append(at)
+                    kept.append([*boxes[at], *t[5:8], 0])
+                    out.append(kept[-1])
+                elif t[8] < max_age:
+                    t[8] += 1
+                    kept.append(t)
+            for k in free:
+                places.append(k)
+                kept.append([*boxes[k], self.next, None, 0.0, 0])
+                out.append(kept[-1])
+                self.next += 1
+            if recognise:
+                for n in range(len(places) - (end - start), len(places)):
+                    t = out[n]
+                    if t[6] is None:
+                        t[6], t[7] = recognise({**row(places[n]), "box": t[:4], "track": t[5], "label": None, "sim": t[7], "age": 0})
+            self.tracks, start = kept, end
+        return places, [(t[5], t[6], t[7]) for t in out]
 
 
 def tracked(detections: DataFrame, threshold: float = 0.3, max_age: int = 30, recognise: Callable | None = None, key: str = "video") -> DataFrame:
@@ -94,10 +128,46 @@ def tracked(detections: DataFrame, threshold: float = 0.3, max_age: int = 30, re
 
     ``detections``: key, frame_idx, det_ord, box (x1, y1, x2, y2), perhaps enc and scene_id; a new scene
     forgets the tracks. ``recognise(row)`` names a track that has no label yet and gives its similarity.
+    Rows are shuffled by key and sorted; a task holds one batch, the rows of one frame and one key's tracks.
     """
+    ready(detections.sparkSession)
     kind = detections.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, frame_idx int, det_ord int, track_id int, label string, sim double"
-    return ordered_fold(detections, [key], ["frame_idx", "det_ord"], lambda: _Track(threshold, max_age, key, recognise), schema)
+    corners = ("_x1", "_y1", "_x2", "_y2")
+    more = [c for c in detections.columns if c not in (key, "frame_idx", "det_ord", "box", "scene_id") and recognise]
+    scene = ["scene_id"] if "scene_id" in detections.columns else []
+    ints = [F.col(c).cast("int").alias(c) for c in ("frame_idx", "det_ord")]
+    rows = detections.select(key, *ints, *scene, *more, *(F.get("box", F.lit(k)).cast("double").alias(c) for k, c in enumerate(corners)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, left = _Frames(threshold, max_age, recognise), None
+
+        def done(batch: pa.RecordBatch, ends: list[int]) -> pa.RecordBatch:
+            columns = {c: batch.column(c).to_pylist() for c in (key, "frame_idx", "det_ord", *scene, *more)}
+            x1, y1, x2, y2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in corners)
+            boxes = np.stack([x1, y1, x2, y2, (x2 - x1) * (y2 - y1)], 1).tolist()
+            places, found = state.run(columns[key], columns["frame_idx"], columns["scene_id"] if scene else None, boxes, ends, lambda k: {c: x[k] for c, x in columns.items()})
+            at = pa.array(places, pa.int64())
+            numbers, labels, sims = zip(*found, strict=True)
+            return pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in (key, "frame_idx", "det_ord")), pa.array(numbers, pa.int32()), pa.array(labels, pa.string()), pa.array(sims, pa.float64())], [key, "frame_idx", "det_ord", "track_id", "label", "sim"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            batch = batch if left is None else pa.concat_batches([left, batch])
+            same = np.ones(batch.num_rows - 1, bool)
+            for c in (key, "frame_idx"):
+                x = batch.column(c)
+                same &= pc.fill_null(pc.equal(x[1:], x[:-1]), False).to_numpy(zero_copy_only=False) | (pc.is_null(x[1:]).to_numpy(zero_copy_only=False) & pc.is_null(x[:-1]).to_numpy(zero_copy_only=False))
+            ends = (np.flatnonzero(~same) + 1).tolist()
+            # The last frame may go on in the next batch.
+            left = batch.slice(ends[-1]) if ends else batch
+            if ends:
+                yield done(batch.slice(0, ends[-1]), ends)
+        if left is not None:
+            yield done(left, [left.num_rows])
+
+    return rows.repartition(key).sortWithinPartitions(key, "frame_idx", "det_ord").mapInArrow(run, schema)
 
 
 def sticky_labels(tracks: DataFrame, key: str = "video") -> DataFrame:

@@ -301,6 +301,39 @@ def test_points_of_each_row_are_not_interpreted(spark, sf, name):
     assert "lambda" not in __spark_entry__.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_tracks_over_columns_equal_the_tracker_of_dicts(spark):
+    """Frames split over batches, scenes, gaps and names: the same rows as Tracker gives frame by frame."""
+    rng = random.Random(11)
+    rows = []
+    for v in range(8):
+        for f in sorted(rng.sample(range(-3, 30), 18)):
+            for k in range(rng.randint(1, 5)):
+                x, y = rng.randint(0, 40), rng.randint(0, 40)
+                rows.append((v, f, k, [float(x), float(y), float(x + 50), float(y + 40)], f // 7, rng.randint(0, 9)))
+    name = lambda r: (f"n{r['part']}", r["box"][0] + r["track"]) if r["part"] % 3 == 0 else (None, 0.0)
+    want = set()
+    for v in range(8):
+        tracker, scene = track.Tracker(0.3, 2, name), None
+        for f in range(-3, 30):
+            boxes = [dict(zip(("video", "frame_idx", "det_ord", "box", "scene_id", "part"), r, strict=True)) for r in rows if r[:2] == (v, f)]
+            if boxes and boxes[0]["scene_id"] != scene:
+                scene = boxes[0]["scene_id"]
+                tracker.reset()
+            want |= {(v, f, t["det_ord"], t["track"], t["label"], t["sim"]) for t in tracker.update(boxes)}
+    df = spark.createDataFrame(rows, "video long, frame_idx int, det_ord int, box array<double>, scene_id int, part int").repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("1", "7", before):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            got = [tuple(r) for r in track.tracked(df, 0.3, 2, name).collect()]
+            assert len(got) == len(want) == len(rows) and set(got) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    # Only what the tracks need is shuffled and sent to Python.
+    assert "part#" not in track.tracked(df, 0.3, 2)._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[0]
+    assert "MapInArrow" in track.tracked(df, 0.3, 2)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_sidecar_paths(spark):
     df = spark.createDataFrame([("a/b.tar.gz",), ("a.d/b",), (".hidden",), ("x/.hidden",), ("v.mp4",)], "p string")
     assert [r[0] for r in df.select(scans.sidecar_path(F.col("p"))).collect()] == ["a/b.tar.txt", "a.d/b.txt", ".hidden.txt", "x/.hidden.txt", "v.txt"]
